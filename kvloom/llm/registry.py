@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import decontaminate, packing, secrets, sharding, tokens
+from kvloom.llm import decontaminate, langid, packing, secrets, sharding, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = (op1_sharding, op4_token_counts, op6_decontamination, op8_packing, op9_secret_scans)
+QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op6_decontamination, op8_packing, op9_secret_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
