@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import decontaminate, langid, packing, secrets, sharding, tokens
+from kvloom.llm import decontaminate, fingerprints, langid, packing, secrets, sharding, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_documents(spark, sf_dir))
 
 
-QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op6_decontamination, op8_packing, op9_secret_scans)
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
+
+
+QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op6_decontamination, op8_packing, op9_secret_scans, op10_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
