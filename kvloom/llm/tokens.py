@@ -17,8 +17,15 @@ from kvloom.llm import textops as T
 #: ASCII blanks that no token of the word tokenizer spans, so what is between two of them is encoded alone.
 CUTS = np.zeros(256, bool)
 CUTS[[0x20, 0x09, 0x0A, 0x0D]] = True
-#: Chunks that a worker remembers before it begins anew.
-MEMORY = 400_000
+#: Lower case for ASCII, as the word tokenizer's normaliser has it.
+LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+#: A special token, which parts what stands before it from what follows.
+APART = "<|startoftext|>"
+#: Places for remembered chunks (a power of two), the longest that is remembered, and ids kept before a worker begins anew.
+PLACES, LONGEST, POOL = 1 << 21, 24, 1 << 24
+PAD = 8
 
 
 def vocabulary(name: str) -> str:
@@ -34,61 +41,115 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space.
+    """Ids of whole texts by a tokenizer that lowers case, drops white space and never looks across it.
 
-    Its normaliser and its pattern never look across white space, so a text's ids are
-    those of its chunks one after the other, and each different chunk is encoded once
-    in a worker (a bounded memory).
+    So a text's ids are those of its chunks, one after the other. A worker remembers chunks of
+    up to LONGEST bytes, compared byte by byte as three 64-bit words and their length, in
+    a table of fixed size. A full stop or comma that ends a chunk after an ASCII
+    letter or digit is a piece of its own, and left out of what is remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = self.tokenizer.token_to_id(APART)
+        self.stops = {c: self.tokenizer.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.begins = np.zeros(1 << 16, np.int64)
-        self.counts = np.zeros(1 << 16, np.int64)
+        self.keys = [np.zeros(PLACES, np.uint64) for _ in range(3)]
+        self.sizes = np.zeros(PLACES, np.uint8)
+        self.begins = np.zeros(PLACES, np.uint32)
+        self.counts = np.zeros(PLACES, np.uint16)
         self.pool = np.zeros(1 << 18, np.uint16)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint16, int(counts.sum()))
-        have = len(self.known)
-        while have + len(chunks) > len(self.begins):
-            self.begins, self.counts = np.concatenate((self.begins, self.begins)), np.concatenate((self.counts, self.counts))
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk begin in the pool, and how many there are."""
+        texts = [c.decode() for c in chunks]
+        if any("<|" in t for t in texts):  # may hold special tokens itself
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            ids = np.fromiter((i for e in encoded for i in e), np.uint16, int(counts.sum()))
+        else:
+            joined = [APART.join(texts[i : i + 256]) + APART for i in range(0, len(texts), 256)]
+            flat = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int64)
+            ends = np.flatnonzero(flat == self.apart)
+            counts = np.diff(ends, prepend=-1) - 1
+            ids = flat[flat != self.apart].astype(np.uint16)
+        begins = self.used + np.cumsum(counts) - counts
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, self.pool))
-        self.begins[have : have + len(chunks)] = self.used + np.cumsum(counts) - counts
-        self.counts[have : have + len(chunks)] = counts
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        for c in chunks:
-            self.known[c] = len(self.known)
+        return begins, counts
 
     def encode(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the n + 1 bounds of each text's."""
+        if self.used > POOL:
+            self._clear()
         x = T.Texts(parts)
         starts, ends, first = x.words(CUTS)
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(len(parts) + 1, np.int64)
-        _, sample, inverse = np.unique(x.hashes(starts, ends), return_index=True, return_inverse=True)
-        chunks = [x.joined[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-        if len(self.known) > MEMORY:
-            self._clear()
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if missing:
-            self._learn(missing)
-        number = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))[inverse]
-        counts = self.counts[number]
-        after = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.pool[np.arange(after[-1]) + np.repeat(self.begins[number] - after[:-1], counts)]
+        special = b"<|" in x.joined
+        raw = bytes(PAD) + (x.joined if special else x.joined.translate(LOWER)) + bytes(PAD)
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends = starts + PAD, ends + PAD
+        last = data[ends - 1]
+        stop = ((last == 0x2E) | (last == 0x2C)) & ALNUM[data[ends - 2]] & (ends - starts > 1)
+        ends = ends - stop
+        begins, counts = self._find(raw, starts, ends)
+        total = counts + stop
+        after = np.concatenate(([0], np.cumsum(total)))
+        # the last of a chunk with a stop is read past its own ids, then replaced
+        at = np.arange(after[-1]) + np.repeat(begins - after[:-1], total)
+        np.minimum(at, len(self.pool) - 1, out=at)
+        ids = self.pool[at]
+        tails = after[1:][stop] - 1
+        kinds = last[stop]
+        for c, own in self.stops.items():
+            ids[tails[kinds == c]] = own[0]
         return ids, after[first]
 
+    def _find(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        sizes = ends - starts
+        head = eight[starts] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(sizes, 8).astype(np.uint64) * np.uint64(8)))
+        tail = np.where(sizes > 8, eight[ends - 8], np.uint64(0))
+        middle = np.where(sizes > 16, eight[np.minimum(starts + 8, len(eight) - 1)], np.uint64(0))
+        keys = (head, middle, tail)
+        h = T.mix((head * np.uint64(T.MULTIPLIERS[0])) ^ T.mix(tail + sizes.astype(np.uint64)) ^ (middle * np.uint64(T.MULTIPLIERS[1])))
+        place = (h % np.uint64(PLACES)).astype(np.int64)
+        long = sizes > LONGEST
+        hit = (self.sizes[place] == sizes) & ~long
+        for have, want in zip(self.keys, keys):
+            hit &= have[place] == want
+        begins, counts = self.begins[place].astype(np.int64), self.counts[place].astype(np.int64)
+        pending = np.flatnonzero(~hit & ~long)
+        while len(pending):
+            _, sample, inverse = np.unique(h[pending], return_index=True, return_inverse=True)
+            new = pending[sample]
+            b, n = self._learn([raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+            at = place[new]
+            for have, want in zip(self.keys, keys):
+                have[at] = want[new]
+            self.sizes[at], self.begins[at], self.counts[at] = sizes[new], b, n
+            same = sizes[pending] == sizes[new][inverse]
+            for want in keys:
+                same &= want[pending] == want[new][inverse]
+            begins[pending[same]], counts[pending[same]] = b[inverse[same]], n[inverse[same]]
+            pending = pending[~same]
+        away = np.flatnonzero(long)
+        if len(away):
+            chunks = [raw[s:e] for s, e in zip(starts[away].tolist(), ends[away].tolist())]
+            number = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
+            b, n = self._learn(list(number))
+            index = np.fromiter((number[c] for c in chunks), np.int64, len(chunks))
+            begins[away], counts[away] = b[index], n[index]
+        return begins, counts
+
 
 @functools.lru_cache(2)
 def byte_encoder(path: str):

@@ -9,7 +9,7 @@ from kvloom.llm import packing as P
 from kvloom.llm import textops as T
 from kvloom.llm.tokens import WordEncoder, vocabulary
 
-ODD = ["", None, " \n\t", "it's we'll <|endoftext|> 12345 a b c", "Été ΑΣ ΑΣ. İß\x1c\x85x", "日本語 ｶﾞ ﬁ", "x" * 30000, "a " * 9000]
+ODD = ["", None, " \n\t", "it's we'll <|endoftext|> <|ENDOFTEXT|> 12345 a b c", "Été ΑΣ ΑΣ. İß\x1c\x85x", "日本語 ｶﾞ ﬁ", "x" * 30000, "a " * 9000, "end. End., e. . , é. x.y, don't. =\u0338 a.\u0338 a\u0301.", "abcdefgh abcdefghi abcdefghijklmnop abcdefghijklmnopq abcdefghijklmnopqrstuvwx abcdefghijklmnopqrstuvwxy abcdefghXXabcdefghijklmn"]
 
 
 @pytest.fixture(scope="module")
