@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import decontaminate, fingerprints, langid, packing, repeats, secrets, sharding, tokens
+from kvloom.llm import decontaminate, fingerprints, jaccard, langid, packing, repeats, secrets, sharding, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op5_substring_dedup, op6_decontamination, op8_packing, op9_secret_scans, op10_fingerprints)
+QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_ngram_jaccard, op8_packing, op9_secret_scans, op10_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

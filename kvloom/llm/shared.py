@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,3 +21,38 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there, so a lost executor costs nothing before this point."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node of the edges: the smallest node that it is connected with.
+
+    Alternating large and small stars, in which every node points its neighbours to the smallest one it
+    knows, until nothing changes; a logarithmic number of rounds. Each round goes through a
+    checkpoint; nothing but a count and a sum of hashes comes to the driver. Null ends are left out.
+    """
+    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
+    now = checkpoint(edges)
+    before = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def only_marked(df: DataFrame, key: str, ids: DataFrame, values: int = 1 << 20) -> DataFrame:
+    """Fewer rows of df, with all of those whose key is in ids (a column ``id``).
+
+    Ids are told by a hash of at most ``values`` values, so what is broadcast is bounded; the more
+    ids there are, the less is left out.
+    """
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(values))
+    marks = ids.select(mark("id").alias("__mark")).distinct()
+    return df.join(F.broadcast(marks), mark(key) == F.col("__mark"), "left_semi")
