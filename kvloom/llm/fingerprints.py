@@ -17,6 +17,8 @@ from kvloom.llm.shared import checkpoint
 CELL_BITS = 16
 LEVELS = 3
 SEEDS = (0, 0x5EED)
+#: Values of the hash by which rows are left out early.
+MARKS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -26,14 +28,19 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(compose(fold(compose(text))), r"(?U)\s+", " "))
 
 
+def _quarter() -> Column:
+    """Code points of a text that the next document's take the place of."""
+    return F.floor(F.length("text") / 4).cast("int")
+
+
 def wide_hash(form: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), form) for seed in SEEDS]
 
 
-def _digest(text: Column, name: str) -> Column:
-    """The bucket of a text, and what tells its forms apart should a bucket have several."""
-    form = canonical(text)
-    return F.transform(F.array(form), lambda c: F.struct(*[h.alias(f"h{i}") for i, h in enumerate(wide_hash(c))], F.sha2(c, 256).alias("sha")))[0].alias(name)
+def _digest(text: Column, name: str, exact: bool) -> Column:
+    """The bucket of a text; if exact, also what tells the forms of a bucket apart."""
+    parts = lambda c: [h.alias(f"h{i}") for i, h in enumerate(wide_hash(c))] + ([F.sha2(c, 256).alias("sha")] if exact else [])
+    return F.transform(F.array(canonical(text)), lambda c: F.struct(*parts(c)))[0].alias(name)
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -69,26 +76,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one whose needed beginning and digest are the smallest. A null id comes before all others.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    edited = _edited(base)
-    kept = F.length("text")
-    digests = checkpoint(
-        edited.select(
-            "doc_id",
-            kept.cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            _digest(F.col("text"), "own"),
-            _digest(F.col("edited"), "other"),
-            "following",
-        )
-    )
-    numbers = _numbers(digests, base)
+    ids = base.groupBy(F.col("doc_id").alias("id")).agg(F.max(_quarter()).alias("need"))
+    follow = next_ids(ids.select("id")).withColumnRenamed("id", "of")
+    wanted = checkpoint(follow.join(ids, F.col("of").eqNullSafe(F.col("id"))).select("of", "next", "need"))
+    digests = checkpoint(_digests(base, wanted, exact=False))
+    numbers = _numbers(digests, base, wanted)
+    if numbers is not None:
+        digests = _digests(base, wanted, exact=True)
     for side in ("own", "other", "following"):
         digests = _named(digests, side, numbers)
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     return digests.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("edited_sha")).alias("edited_sha256"),
         F.col("name_own").alias("fingerprint"),
         F.col("name_other").alias("edited_fingerprint"),
         like("name_own", "name_other").alias("near_edited"),
@@ -96,25 +97,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _edited(base: DataFrame) -> DataFrame:
+def _edited(base: DataFrame, wanted: DataFrame, exact: bool) -> DataFrame:
     """base with edited, and following: the digest of the next document."""
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    ids = base.groupBy(F.col("doc_id").alias("id")).agg(F.max(quarter).alias("need"))
-    wanted = next_ids(ids.select("id")).withColumnRenamed("id", "of")
-    wanted = wanted.join(ids, F.col("of").eqNullSafe(F.col("id"))).select("of", "next", "need")
-    heads = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("next"))).select("of", F.expr("substring(text, 1, need)").alias("head"), _digest(F.col("text"), "following"))
+    following = _digest(F.col("text"), "following", exact)
+    heads = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("next"))).select("of", F.expr("substring(text, 1, need)").alias("head"), following)
     heads = heads.groupBy("of").agg(F.min(F.struct("head", "following")).alias("least"))
     joined = base.join(heads, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    cut = F.length("text") - quarter
-    return joined.select(
+    begin = F.col("text").substr(F.lit(1), F.length("text") - _quarter())
+    return joined.select("doc_id", "text", F.concat(begin, F.col("least.head").substr(F.lit(1), _quarter())).alias("edited"), F.col("least.following").alias("following"))
+
+
+def _digests(base: DataFrame, wanted: DataFrame, exact: bool) -> DataFrame:
+    return _edited(base, wanted, exact).select(
         "doc_id",
-        "text",
-        F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(least.head, 1, cast(floor(length(text) / 4) as int))")).alias("edited"),
-        F.col("least.following").alias("following"),
-    ).where(cut >= 0)
+        F.length("text").cast("long").alias("n_chars"),
+        F.unhex(F.sha2("edited", 256)).alias("edited_sha"),
+        _digest(F.col("text"), "own", exact),
+        _digest(F.col("edited"), "other", exact),
+        "following",
+    )
+
+
+def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Fewer rows of base, with all of those whose id is in ids (a column id).
+
+    Ids are told by a hash of at most MARKS values, so what is broadcast is bounded; the more ids
+    there are, the less is left out.
+    """
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    marks = ids.select(mark("id").alias("mark")).distinct()
+    return base.join(F.broadcast(marks), mark("doc_id") == F.col("mark"), "left_semi")
 
 
-def _numbers(digests: DataFrame, base: DataFrame) -> DataFrame | None:
+def _numbers(digests: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFrame | None:
     """(h0, h1, sha, number) of the forms in buckets that hold several; None if, as ever, there are none.
 
     Only rows in buckets of several rows are read again, and their forms compared as bytes:
@@ -123,8 +138,11 @@ def _numbers(digests: DataFrame, base: DataFrame) -> DataFrame | None:
     sides = F.explode(F.array("own", "other")).alias("d")
     several = digests.select(sides).groupBy("d.h0", "d.h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h0", "h1")
     ids = digests.select("doc_id", sides).select("doc_id", "d.h0", "d.h1").join(several, ["h0", "h1"], "left_semi").select(F.col("doc_id").alias("id")).distinct()
-    edited = _edited(base)
-    again = edited.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(F.explode(F.array("text", "edited")).alias("t")).select(canonical(F.col("t")).alias("form"))
+    ids = checkpoint(ids)
+    wanted = wanted.join(ids, F.col("of").eqNullSafe(F.col("id")), "left_semi")
+    base = _only(base, ids.union(wanted.select("next")))
+    again = _edited(base, wanted, False).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = again.select(F.explode(F.array("text", "edited")).alias("t")).select(canonical(F.col("t")).alias("form"))
     h0, h1 = wide_hash(F.col("form"))
     forms = again.select(h0.alias("h0"), h1.alias("h1"), "form")
     mixed = forms.groupBy("h0", "h1").agg(F.min("form").alias("a"), F.max("form").alias("b")).where(F.col("a") != F.col("b")).select("h0", "h1")
@@ -133,7 +151,7 @@ def _numbers(digests: DataFrame, base: DataFrame) -> DataFrame | None:
         return None
     ranked = forms.join(mixed, ["h0", "h1"], "left_semi").distinct()
     rank = F.dense_rank().over(Window.partitionBy("h0", "h1").orderBy("form")) - 1
-    return ranked.select("h0", "h1", F.sha2("form", 256).alias("sha"), rank.alias("number"))
+    return checkpoint(ranked.select("h0", "h1", F.sha2("form", 256).alias("sha"), rank.alias("number")))
 
 
 def _named(digests: DataFrame, side: str, numbers: DataFrame | None) -> DataFrame:
