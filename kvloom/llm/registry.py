@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvloom.llm import decontaminate, fingerprints, jaccard, langid, packing, repeats, secrets, sharding, tokens
+from kvloom.llm import decontaminate, fingerprints, jaccard, langid, lines, packing, repeats, secrets, sharding, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
-QUERIES = (op1_sharding, op3_language_id, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_ngram_jaccard, op8_packing, op9_secret_scans, op10_fingerprints)
+QUERIES = (op1_sharding, op2_line_dedup, op3_language_id, op4_token_counts, op5_substring_dedup, op6_decontamination, op7_ngram_jaccard, op8_packing, op9_secret_scans, op10_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
