@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,17 @@ def only_marked(df: DataFrame, key: str, ids: DataFrame, values: int = 1 << 20)
     mark = lambda c: F.pmod(F.xxhash64(c), F.lit(values))
     marks = ids.select(mark("id").alias("__mark")).distinct()
     return df.join(F.broadcast(marks), mark(key) == F.col("__mark"), "left_semi")
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which the driver and all executors share.
+
+    It stays, as what is returned is read from it later; it goes when the session's driver ends.
+    """
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
+    jvm = context._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
