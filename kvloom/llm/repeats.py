@@ -31,8 +31,8 @@ LEAST = 4
 #: Bytes of text among which repeats are found before anything is dealt.
 BATCH_BYTES = 8 << 20
 
-#: A row of a stream: alone in its batch, one that stands for several documents of its batch, or known already.
-ALONE, SEVERAL, KNOWN = 0, 1, 2
+#: A row of a stream has a run: none if it is alone in its batch or stands for several documents of it; so many windows are known already.
+ALONE, SEVERAL, KNOWN = 0, -1, 1
 
 _KEYS = "doc long, crc int"
 
@@ -86,7 +86,7 @@ def _judge(g: np.ndarray, g2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 
 
 def _emit(length: int, window: int, candidates: bool):
-    """Rows (g, g2, doc, crc, pos, run, state) of the windows that may repeat; at the window's own length, pos and run are places.
+    """Rows (g, g2, doc, crc, pos, run) of the windows that may repeat; pos is a window's place at the last level.
 
     The input is doc, crc, text and, if ``candidates``, the representatives at the length before that are in several documents.
     """
@@ -105,7 +105,7 @@ def _emit(length: int, window: int, candidates: bool):
                 g = words.representatives(length)[at]
                 own = words.own[at]
                 if last:
-                    g2 = T.windows(words.text.hashes(words.starts, words.ends, which=1), window, 1)[at]
+                    g2 = (T.windows(words.text.hashes(words.starts, words.ends, which=1), window, 1)[at] >> np.uint64(32)).astype(np.uint32)
                     place = at - words.first[own]
                 else:
                     # neighbours share a representative; a document's own are told once
@@ -116,7 +116,7 @@ def _emit(length: int, window: int, candidates: bool):
                     new = np.ones(len(g), bool)
                     new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
                     g, own = g[new], own[new]
-                    g2, place = np.zeros(len(g), np.uint64), np.zeros(len(g), np.int64)
+                    g2, place = np.zeros(len(g), np.uint32), np.zeros(len(g), np.int64)
                 if not len(g):
                     continue
                 doc, crc = docs[a:b][own], crcs[a:b][own]
@@ -148,11 +148,11 @@ def _survive(words: _Words, lists: pa.Array, before: int) -> np.ndarray:
     return known[at] == want
 
 
-def _rows(g, g2, doc, crc, place, state, own, last: bool) -> Iterator[pa.RecordBatch]:
-    run = np.zeros(len(g), np.int32)
+def _rows(g, g2, doc, crc, place, run, own, last: bool) -> Iterator[pa.RecordBatch]:
+    run = run.astype(np.int32)
     keep = np.ones(len(g), bool)
     if last:  # known windows that follow one another are one row
-        known = np.flatnonzero(state == KNOWN)
+        known = np.flatnonzero(run == KNOWN)
         known = known[np.lexsort((place[known], own[known]))]
         if len(known):
             begins = np.ones(len(known), bool)
@@ -160,15 +160,15 @@ def _rows(g, g2, doc, crc, place, state, own, last: bool) -> Iterator[pa.RecordB
             firsts = np.flatnonzero(begins)
             keep[known[~begins]] = False
             run[known[firsts]] = np.diff(np.append(firsts, len(known)))
-            g, g2 = g.copy(), g2.copy()
-            g[known], g2[known] = T.mix(doc[known].astype(np.uint64) + place[known].astype(np.uint64)), 0
-    columns = [T.signed(g), T.signed(g2), doc, crc, place.astype(np.int32), run, state.astype(np.int8)]
-    names = ["g", "g2", "doc", "crc", "pos", "run", "state"]
+            g2 = g2.copy()
+            g2[known] = 0
+    columns = [T.signed(g), g2.view(np.int32), doc, crc, place.astype(np.int32), run]
+    names = ["g", "g2", "doc", "crc", "pos", "run"]
     for a in range(0, int(keep.sum()), 200_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[keep][a : a + 200_000]) for c in columns], names=names)
 
 
-_ROW = "g long, g2 long, doc long, crc int, pos int, run int, state byte"
+_ROW = "g long, g2 int, doc long, crc int, pos int, run int"
 
 
 def _stream(last: bool):
@@ -179,7 +179,7 @@ def _stream(last: bool):
         now = None  # of the hash that the batch before ended in: itself, its smallest document, whether it is in several
         for batch in batches:
             rows = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns)}
-            known = rows["state"] == KNOWN
+            known = rows["run"] >= KNOWN
             if known.any():
                 yield _found({n: c[known] for n, c in rows.items()}, last)
                 rows = {n: c[~known] for n, c in rows.items()}
@@ -198,7 +198,7 @@ def _stream(last: bool):
             least = np.concatenate(([now[1] if now else 0], doc[heads]))[group]
             many = np.zeros(len(heads) + 1, bool)
             many[0] = bool(now and now[2])
-            np.logical_or.at(many, group, (doc != least) | (rows["state"] == SEVERAL))
+            np.logical_or.at(many, group, (doc != least) | (rows["run"] == SEVERAL))
             out = (doc != least) if last else many[group]
             end = (g[-1], g2[-1])
             if not last and not many[group[-1]]:
@@ -254,7 +254,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    base = docs.select(doc.alias("doc"), (F.crc32(F.encode(text, "UTF-8")) - (1 << 31)).cast("int").alias("crc"), text.alias("text"))
+    # a CRC tells rows of one id apart; with an id a row, as ever, there is nothing to tell
+    repeated = not docs.groupBy(doc.alias("doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    crc = (F.crc32(F.encode(text, "UTF-8")) - (1 << 31)).cast("int") if repeated else F.lit(0)
+    base = docs.select(doc.alias("doc"), crc.alias("crc"), text.alias("text"))
     keys = ["doc", "crc"]
     # exact copies of a text with a smaller id
     texts = base.select("doc", "crc", F.sha2("text", 256).alias("sha"))
@@ -267,7 +270,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         last = length == window
         here = fresh if survivors is None else fresh.join(survivors, keys)
         rows = here.mapInArrow(_emit(length, window, survivors is not None), _ROW)
-        dealt = F.when(F.col("state") == KNOWN, F.xxhash64("doc", "g")).otherwise(F.col("g"))
+        dealt = F.when(F.col("run") >= KNOWN, F.xxhash64("doc", "g")).otherwise(F.col("g"))
         rows = rows.repartition(dealt).sortWithinPartitions("g", "g2", "doc")
         found = rows.mapInArrow(_stream(last), f"{_KEYS}, pos int, run int" if last else f"{_KEYS}, g long")
         if last:
