@@ -224,11 +224,11 @@ def repl_status(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""{REPL}, b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY slot ORDER BY lsn DESC) <= 5), k AS (SELECT slot, min(lsn) AS first, max(lsn) AS last FROM b GROUP BY slot),
 q AS (SELECT i::INTEGER AS slot, i % 3 AS epoch, i % 90 AS lsn FROM range(16384) t(i)), j AS (SELECT q.slot, q.lsn, CASE WHEN epoch = 1 AND CASE WHEN last IS NULL THEN q.lsn = 0 ELSE q.lsn <= last AND q.lsn + 1 >= first END THEN 'CONTINUE' ELSE 'FULLRESYNC' END AS answer, last FROM q LEFT JOIN k ON q.slot = k.slot)
-SELECT slot, lsn, answer, CASE WHEN answer = 'CONTINUE' THEN coalesce(last - lsn, 0) END AS missed FROM j"""
+SELECT slot, lsn, answer, CASE WHEN answer = 'CONTINUE' THEN coalesce(last - lsn, 0) ELSE -1 END AS missed FROM j"""
 )
 def repl_psync(spark: SparkSession, d: str) -> DataFrame:
     requests = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot"), (F.col("id") % 3).alias("epoch"), (F.col("id") % 90).alias("lsn"))
-    return repllog.psync(repllog.backlog(_repl(spark, d), 5), requests, 1)
+    return repllog.psync(repllog.backlog(_repl(spark, d), 5), requests, 1).withColumn("missed", F.coalesce("missed", F.lit(-1)))
 
 
 @query(
@@ -258,9 +258,9 @@ def tier_stats(spark: SparkSession, d: str) -> DataFrame:
     return tiering.by_tier(_stats(spark, d))
 
 
-@query(f"{STATS} SELECT key, uses, last_us, write_us, size FROM stats")
+@query(f"{STATS} SELECT key, uses, last_us, coalesce(write_us, 0) AS write_us, size FROM stats")
 def tier_access_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _stats(spark, d).drop("tier")
+    return _stats(spark, d).drop("tier").withColumn("write_us", F.coalesce("write_us", F.lit(0)))
 
 
 @query(f"{STATS} SELECT key FROM stats WHERE tier = 'hot' AND idle > 86400 AND uses < 12")

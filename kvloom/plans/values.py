@@ -403,9 +403,14 @@ def _expiring(spark: SparkSession, d: str) -> DataFrame:
     return last.select("key", F.col("l.op").alias("value"), F.when(F.col("l.seq") % 3 != 0, F.col("l.us") + V.TTL_US).alias("expire_at_us"))
 
 
-@query(f"{TTLS} SELECT key, value, expire_at_us FROM v")
+def _told(rows: DataFrame) -> DataFrame:
+    """The expiry as stores tell it: 0 for never."""
+    return rows.withColumn("expire_at_us", F.coalesce("expire_at_us", F.lit(0)))
+
+
+@query(f"{TTLS} SELECT key, value, coalesce(expire_at_us, 0) AS expire_at_us FROM v")
 def ttl_visible(spark: SparkSession, d: str) -> DataFrame:
-    return expiry.visible(_expiring(spark, d), V.NOW_US)
+    return _told(expiry.visible(_expiring(spark, d), V.NOW_US))
 
 
 @query(f"{TTLS} SELECT p.key, CASE WHEN v.key IS NULL THEN -2 WHEN expire_at_us IS NULL THEN -1 ELSE (expire_at_us - {NOW}) // 1000000 END AS ttl FROM p LEFT JOIN v ON p.key = v.key")
@@ -423,20 +428,20 @@ def _ttl_requests(spark: SparkSession, d: str) -> DataFrame:
     return _customer_writes(spark, d).select("key", F.when(n == 0, 0).otherwise(n * 1_000_000).cast("long").alias("ttl_us"))
 
 
-@query(f"{TTLS} SELECT v.key, value, CASE WHEN c_custkey IS NULL THEN expire_at_us WHEN c_custkey % 3 > 0 THEN {NOW} + c_custkey % 3 * 1000000 END AS expire_at_us FROM v LEFT JOIN p ON v.key = p.key")
+@query(f"{TTLS} SELECT v.key, value, coalesce(CASE WHEN c_custkey IS NULL THEN expire_at_us WHEN c_custkey % 3 > 0 THEN {NOW} + c_custkey % 3 * 1000000 END, 0) AS expire_at_us FROM v LEFT JOIN p ON v.key = p.key")
 def ttl_expire(spark: SparkSession, d: str) -> DataFrame:
-    return expiry.expire(_expiring(spark, d), _ttl_requests(spark, d), V.NOW_US)
+    return _told(expiry.expire(_expiring(spark, d), _ttl_requests(spark, d), V.NOW_US))
 
 
-@query(f"{TTLS} SELECT v.key, value, coalesce({NOW} + (c_custkey % 3 - 1) * 1000000, expire_at_us) AS expire_at_us FROM v LEFT JOIN p ON v.key = p.key WHERE c_custkey IS NULL OR c_custkey % 3 = 2")
+@query(f"{TTLS} SELECT v.key, value, coalesce({NOW} + (c_custkey % 3 - 1) * 1000000, expire_at_us, 0) AS expire_at_us FROM v LEFT JOIN p ON v.key = p.key WHERE c_custkey IS NULL OR c_custkey % 3 = 2")
 def ttl_expireat(spark: SparkSession, d: str) -> DataFrame:
     at = _customer_writes(spark, d).select("key", (F.lit(V.NOW_US) + (F.col("seq") % 3 - 1) * 1_000_000).alias("at_us"))
-    return expiry.expire_at(_expiring(spark, d), at, V.NOW_US)
+    return _told(expiry.expire_at(_expiring(spark, d), at, V.NOW_US))
 
 
-@query(f"{TTLS} SELECT k.key, value, CASE WHEN c_custkey IS NULL THEN expire_at_us END AS expire_at_us FROM k LEFT JOIN p ON k.key = p.key")
+@query(f"{TTLS} SELECT k.key, value, coalesce(CASE WHEN c_custkey IS NULL THEN expire_at_us END, 0) AS expire_at_us FROM k LEFT JOIN p ON k.key = p.key")
 def ttl_persist(spark: SparkSession, d: str) -> DataFrame:
-    return expiry.persist(_expiring(spark, d), _customer_writes(spark, d).select("key"))
+    return _told(expiry.persist(_expiring(spark, d), _customer_writes(spark, d).select("key")))
 
 
 @query(f"WITH {LOG} SELECT key, count(*) AS uses FROM log GROUP BY key ORDER BY uses, key LIMIT 20")
