@@ -25,7 +25,7 @@ from kvloom.llm.tokens import vocabulary, word_encoder
 WINDOW = 2048
 END = 1
 #: A shard has at most so many documents, and is closed once it has so many ids.
-SHARD_DOCS, SHARD_IDS = 1024, 4_000_000
+SHARD_DOCS, SHARD_IDS = 1024, 1_000_000
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: Postings of ids that more than one in so many documents of a shard have are kept as dense rows.
@@ -97,8 +97,8 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = n = len(docs)
         lengths = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        keys, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        keys, tf = np.unique(np.concatenate(docs).astype(np.int32) * np.int32(n) + owner, return_counts=True)  # under 2 ** 16 times SHARD_DOCS
         terms, owners = keys // n, keys % n
         norm = K1 * (1 - B + B * lengths / max(mean, 1e-9))
         weights = (idf[terms] * tf * (K1 + 1) / (tf + norm[owners])).astype(np.float32)

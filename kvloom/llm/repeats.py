@@ -29,7 +29,7 @@ WINDOW = 13
 #: The shortest length of a level.
 LEAST = 4
 #: Bytes of text among which repeats are found before anything is dealt.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: A row of a stream has a run: none if it is alone in its batch or stands for several documents of it; so many windows are known already.
 ALONE, SEVERAL, KNOWN = 0, -1, 1

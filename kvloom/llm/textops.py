@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in groups of about this many bytes; a longer text is a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240131))
 BYTE_TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

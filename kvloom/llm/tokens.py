@@ -24,7 +24,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
 #: A special token, which parts what stands before it from what follows.
 APART = "<|startoftext|>"
 #: Places for remembered chunks (a power of two), the longest that is remembered, and ids kept before a worker begins anew.
-PLACES, LONGEST, POOL = 1 << 21, 24, 1 << 24
+PLACES, LONGEST, POOL = 1 << 21, 24, 1 << 23
 PAD = 8
 
 
