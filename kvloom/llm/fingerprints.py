@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvloom.llm.shared import checkpoint
+from kvloom.llm.shared import checkpoint, only_marked
 
 #: Ids of one cell, which one task orders, as a power of two; three levels of cells and the rest make up a long.
 CELL_BITS = 16
 LEVELS = 3
 SEEDS = (0, 0x5EED)
-#: Values of the hash by which rows are left out early.
-MARKS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -62,9 +60,10 @@ def next_ids(ids: DataFrame) -> DataFrame:
         return joined.select("key", "first", F.coalesce("next", "__next").alias("next"))
 
     out = following(ids.select(F.col("id").alias("key"), F.col("id").alias("first")), 0)
-    first = ids.agg(F.min("id").alias("__least"), F.max(F.col("id").isNull()).alias("__null"))
-    wrap = F.when(~F.col("__null"), F.col("__least"))
-    return out.crossJoin(F.broadcast(first)).select(F.col("key").alias("id"), F.coalesce("next", wrap).alias("next"))  # one row
+    # one row, for the one that has nothing after it
+    first = ids.agg(F.min("id").alias("__least"), F.max(F.col("id").isNull()).alias("__null")).select(F.when(~F.col("__null"), F.col("__least")).alias("__wrap"), F.lit(True).alias("__end"))
+    out = out.join(F.broadcast(first), F.col("next").isNull() == F.col("__end"), "left")
+    return out.select(F.col("key").alias("id"), F.coalesce("next", "__wrap").alias("next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,17 +117,6 @@ def _digests(base: DataFrame, wanted: DataFrame, exact: bool) -> DataFrame:
     )
 
 
-def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """Fewer rows of base, with all of those whose id is in ids (a column id).
-
-    Ids are told by a hash of at most MARKS values, so what is broadcast is bounded; the more ids
-    there are, the less is left out.
-    """
-    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
-    marks = ids.select(mark("id").alias("mark")).distinct()
-    return base.join(F.broadcast(marks), mark("doc_id") == F.col("mark"), "left_semi")
-
-
 def _numbers(digests: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFrame | None:
     """(h0, h1, sha, number) of the forms in buckets that hold several; None if, as ever, there are none.
 
@@ -140,7 +128,7 @@ def _numbers(digests: DataFrame, base: DataFrame, wanted: DataFrame) -> DataFram
     ids = digests.select("doc_id", sides).select("doc_id", "d.h0", "d.h1").join(several, ["h0", "h1"], "left_semi").select(F.col("doc_id").alias("id")).distinct()
     ids = checkpoint(ids)
     wanted = wanted.join(ids, F.col("of").eqNullSafe(F.col("id")), "left_semi")
-    base = _only(base, ids.union(wanted.select("next")))
+    base = only_marked(base, "doc_id", ids.union(wanted.select("next")))
     again = _edited(base, wanted, False).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     again = again.select(F.explode(F.array("text", "edited")).alias("t")).select(canonical(F.col("t")).alias("form"))
     h0, h1 = wide_hash(F.col("form"))
