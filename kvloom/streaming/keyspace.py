@@ -107,8 +107,15 @@ def drain_windows(spark: SparkSession, folder: str) -> DataFrame:
     return last_versions(rows, "win", "op")
 
 
+def deduped(rows: DataFrame, key: str, at: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Each key's first row. With a time column, state is kept no longer than repeats may be late; without, for good."""
+    if at is None:
+        return rows.dropDuplicates([key])
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
 def drain_deduped(spark: SparkSession, folder: str) -> DataFrame:
     """Every command comes twice and is told once."""
     rows = commands(source(spark, folder)).select("key", "op", "seq")
     twice = rows.select("key", "op", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).drop("n")
-    return drain(spark, twice.dropDuplicates(["seq"])).select("key", "op", "seq")
+    return drain(spark, deduped(twice, "seq")).select("key", "op", "seq")
