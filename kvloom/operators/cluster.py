@@ -177,3 +177,27 @@ def even_owner(number: Column, nodes: int) -> Column:
     """The node, from 0, of a slot in an even plan."""
     base, extra = divmod(SLOTS, nodes)
     return F.when(number < extra * (base + 1), F.floor(number / (base + 1))).otherwise(extra + F.floor((number - extra * (base + 1)) / base)).cast("long")
+
+
+def slot_changes(slots: DataFrame, commands: DataFrame) -> DataFrame:
+    """slots (slot, owner, state, target) after ADDSLOTS and SETSLOT, the last command of each slot deciding.
+
+    commands: slot, op, node, seq. NODE and ADD give the slot to the node, MIGRATING and IMPORTING name where its
+    keys go or come from, STABLE ends that. DEL changes nothing.
+    """
+    last = commands.where("op <> 'DEL'").groupBy("slot").agg(F.max_by(F.struct("op", "node"), "seq").alias("c"))
+    j = slots.join(last, "slot", "left")
+    op, node = F.col("c.op"), F.col("c.node")
+    given = op.isin("NODE", "ADD")
+    state = F.when(op == "MIGRATING", "exporting").when(op == "IMPORTING", "importing").when(op.isNotNull(), "stable").otherwise(F.col("state"))
+    target = F.when(op.isin("MIGRATING", "IMPORTING"), node).when(op.isNull(), F.col("target"))
+    return j.select("slot", F.when(given, node).otherwise(F.col("owner")).alias("owner"), state.alias("state"), target.alias("target"))
+
+
+def info(slots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: slots that have an owner, that are fine and that fail, nodes, and masters with slots."""
+    health = nodes.select(F.col("node").alias("owner"), "healthy")
+    j = slots.join(health, "owner", "left")
+    ok = F.coalesce("healthy", F.lit(False))
+    counted = j.agg(F.count("owner").alias("assigned"), F.count_if(ok).alias("ok"), F.count_if(F.col("owner").isNotNull() & ~ok).alias("fail"), F.count_distinct("owner").alias("size"))
+    return counted.join(nodes.agg(F.count(F.lit(1)).alias("known")), F.lit(True))  # one row each

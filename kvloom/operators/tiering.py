@@ -100,3 +100,34 @@ def read_through(tiers: list[DataFrame]) -> DataFrame:
 def load_missing(hot: DataFrame, warm: DataFrame) -> DataFrame:
     """The hot tier with what only the warm one has."""
     return hot.unionByName(warm.join(hot.select("key"), "key", "left_anti"))
+
+
+def tier_keys(tiers: list[DataFrame]) -> DataFrame:
+    """Every key of any tier, once."""
+    return read_through(tiers).select("key")
+
+
+def tier_sizes(tiers: list[DataFrame]) -> DataFrame:
+    """Keys in all tiers: each once, and as the sum of the tiers' sizes, which counts a key in two of them twice."""
+    rows = None
+    for df in tiers:
+        part = df.select("key")
+        rows = part if rows is None else rows.unionByName(part)
+    each = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("summed"))
+
+
+def moved(stats: DataFrame, moves: DataFrame) -> DataFrame:
+    """Statistics after a run's moves (key, move): hot to warm or warm to cold, and anything promoted to hot."""
+    joined = stats.join(moves.select("key", "move"), "key", "left")
+    down = F.when(F.col("tier") == "hot", "warm").otherwise("cold")
+    tier = F.when(F.col("move") == "demote", down).when(F.col("move") == "promote", "hot").otherwise(F.col("tier"))
+    return joined.withColumn("tier", tier).drop("move")
+
+
+def tier_report(stats: DataFrame, moves: DataFrame) -> DataFrame:
+    """One row: keys and bytes of each tier, in all, and moves up and down."""
+    kinds = ("hot", "warm", "cold")
+    cells = [c for t in kinds for c in (F.count_if(F.col("tier") == t).alias(f"{t}_keys"), F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("size"))), F.lit(0)).alias(f"{t}_bytes"))]
+    ways = [F.count_if(F.col("move") == "promote").alias("up"), F.count_if(F.col("move") == "demote").alias("down")]
+    return stats.join(moves.select("key", "move"), "key", "left").agg(*cells, F.count(F.lit(1)).alias("keys"), *ways)

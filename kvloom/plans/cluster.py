@@ -115,6 +115,25 @@ def cluster_nodes(spark: SparkSession, d: str) -> DataFrame:
     return runs.select("node", F.array_join(F.transform("r", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string"))), " ").alias("spans"))
 
 
+@query(
+    f"""WITH {SLOT_TABLE}, c AS (SELECT (i * 7) % 16384 AS slot, i AS seq, CASE i % 6 WHEN 0 THEN 'ADD' WHEN 1 THEN 'NODE' WHEN 2 THEN 'MIGRATING' WHEN 3 THEN 'IMPORTING' WHEN 4 THEN 'STABLE' ELSE 'DEL' END AS op, 'node-' || (i % 4) AS node FROM range(3000) t(i)),
+l AS (SELECT slot, arg_max(op, seq) AS op, arg_max(node, seq) AS node FROM c WHERE op <> 'DEL' GROUP BY slot)
+SELECT slots.slot, CASE WHEN op IN ('ADD', 'NODE') THEN node ELSE owner END AS owner, CASE op WHEN 'MIGRATING' THEN 'exporting' WHEN 'IMPORTING' THEN 'importing' ELSE CASE WHEN op IS NULL THEN state ELSE 'stable' END END AS state,
+  CASE WHEN op IN ('MIGRATING', 'IMPORTING') THEN node WHEN op IS NULL THEN target END AS target FROM slots LEFT JOIN l ON slots.slot = l.slot"""
+)
+def slot_changes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    op = F.get(F.array(*[F.lit(x) for x in ("ADD", "NODE", "MIGRATING", "IMPORTING", "STABLE", "DEL")]), (i % 6).cast("int"))
+    commands = spark.range(3000).select((i * 7 % SLOTS).cast("int").alias("slot"), op.alias("op"), F.concat(F.lit("node-"), (i % 4).cast("string")).alias("node"), i.alias("seq"))
+    return cluster.slot_changes(_slots(spark), commands)
+
+
+@query("SELECT 16384::BIGINT AS assigned, 10923::BIGINT AS ok, 5461::BIGINT AS fail, 3::BIGINT AS size, 4::BIGINT AS known")
+def cluster_info(spark: SparkSession, d: str) -> DataFrame:
+    nodes = [("node-0", "master", True), ("node-1", "master", True), ("node-2", "master", False), ("node-3", "replica", True)]
+    return cluster.info(_slots(spark), spark.createDataFrame(nodes, "node string, role string, healthy boolean"))
+
+
 # ---- membership: nations report on suppliers
 
 
@@ -317,6 +336,31 @@ def tier_load_missing(spark: SparkSession, d: str) -> DataFrame:
     return tiering.load_missing(hot, warm)
 
 
+@query(f"{TIERS} SELECT key FROM w")
+def tier_keys(spark: SparkSession, d: str) -> DataFrame:
+    return tiering.tier_keys(_tiers(spark, d))
+
+
+@query(f"{TIERS} SELECT count(*) AS keys, CAST(sum(1 + (u % 2 = 0)::INT + (u % 3 = 0)::INT) AS BIGINT) AS summed FROM w")
+def tier_dbsize(spark: SparkSession, d: str) -> DataFrame:
+    return tiering.tier_sizes(_tiers(spark, d))
+
+
+@query(f"{STATS} SELECT key, CASE WHEN move = 'promote' THEN 'hot' WHEN move = 'demote' THEN CASE WHEN tier = 'hot' THEN 'warm' ELSE 'cold' END ELSE tier END AS tier FROM moves")
+def tier_moved(spark: SparkSession, d: str) -> DataFrame:
+    stats = _stats(spark, d)
+    return tiering.moved(stats, tiering.default_policy(stats, V.NOW_US)).select("key", "tier")
+
+
+@query(
+    f"""{STATS} SELECT count(*) FILTER (tier = 'hot') AS hot_keys, CAST(coalesce(sum(size) FILTER (tier = 'hot'), 0) AS BIGINT) AS hot_bytes, count(*) FILTER (tier = 'warm') AS warm_keys, CAST(coalesce(sum(size) FILTER (tier = 'warm'), 0) AS BIGINT) AS warm_bytes,
+count(*) FILTER (tier = 'cold') AS cold_keys, CAST(coalesce(sum(size) FILTER (tier = 'cold'), 0) AS BIGINT) AS cold_bytes, count(*) AS keys, count(*) FILTER (move = 'promote') AS up, count(*) FILTER (move = 'demote') AS down FROM moves"""
+)
+def tier_report(spark: SparkSession, d: str) -> DataFrame:
+    stats = _stats(spark, d)
+    return tiering.tier_report(stats, tiering.default_policy(stats, V.NOW_US))
+
+
 # ---- frequencies
 
 
