@@ -6,6 +6,8 @@ polynomials over a random byte table, the same for a word wherever it stands.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; workers are used again by other stages, whose memory would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Texts:
     """Some documents joined by a separator byte: data, and where each begins and ends."""
 

@@ -24,7 +24,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
 #: A special token, which parts what stands before it from what follows.
 APART = "<|startoftext|>"
 #: Places for remembered chunks (a power of two), the longest that is remembered, and ids kept before a worker begins anew.
-PLACES, LONGEST, POOL = 1 << 21, 24, 1 << 23
+PLACES, LONGEST, POOL = 1 << 20, 24, 1 << 23
+#: Chunks that go to the tokenizer together.
+LEARNED = 8192
 PAD = 8
 
 
@@ -56,6 +58,7 @@ class WordEncoder:
         self.apart = self.tokenizer.token_to_id(APART)
         self.stops = {c: self.tokenizer.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
         self._clear()
+        T.trim()  # what reading the vocabulary took
 
     def _clear(self) -> None:
         self.keys = [np.zeros(PLACES, np.uint64) for _ in range(3)]
@@ -67,6 +70,10 @@ class WordEncoder:
 
     def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each chunk begin in the pool, and how many there are."""
+        begins, counts = zip(*(self._learn_some(chunks[a : a + LEARNED]) for a in range(0, len(chunks), LEARNED)))
+        return np.concatenate(begins), np.concatenate(counts)
+
+    def _learn_some(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [c.decode() for c in chunks]
         if any("<|" in t for t in texts):  # may hold special tokens itself
             encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,7 +81,7 @@ class WordEncoder:
             ids = np.fromiter((i for e in encoded for i in e), np.uint16, int(counts.sum()))
         else:
             joined = [APART.join(texts[i : i + 256]) + APART for i in range(0, len(texts), 256)]
-            flat = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int64)
+            flat = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(flat == self.apart)
             counts = np.diff(ends, prepend=-1) - 1
             ids = flat[flat != self.apart].astype(np.uint16)
