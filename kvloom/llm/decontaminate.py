@@ -186,6 +186,7 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 def _scanner(broadcast, text_at: int, hits_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.enter("decontaminate")
         automaton, keep = broadcast.value
         ranges_type, items_type = pa.list_(pa.int32()), pa.list_(pa.string())
         for batch in batches:

@@ -151,6 +151,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.enter("jaccard")
         for batch in batches:
             parts = T.slices(batch.column(1))
             for a, b in T.groups(parts):

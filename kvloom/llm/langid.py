@@ -274,6 +274,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", names:
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.enter("langid")
         labeller = shared.value
         for batch in batches:
             parts = T.slices(batch.column(text_at))

@@ -35,11 +35,6 @@ VOCABULARY = 1 << 16
 COUNTED = 64
 
 
-def _drop_others() -> None:
-    """Tables of hashes that other stages have left in the worker."""
-    T._powers.clear()
-
-
 def encode_shards(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """doc_id, shard and ids (little-endian unsigned 16-bit, with the end id) of each row, shards one after the other."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -48,8 +43,7 @@ def encode_shards(docs: DataFrame, id_col: str, text_col: str, path: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        T.trim()
-        _drop_others()
+        T.enter("encode")
         encoder = word_encoder(path)
         shard = TaskContext.get().partitionId() << 24
         n_docs = n_ids = 0
@@ -206,7 +200,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
     id_type = pa.schema([("x", pa.int64())]).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.trim()
+        T.enter("pack")
         idf, mean = shared.value
         names: list = []
         texts: list[np.ndarray] = []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +53,27 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system; workers are used again by other stages, whose memory would add up."""
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What empties the tables that operators keep in a worker from task to task.
+CLEAR: list[Callable[[], None]] = [_powers.clear]
+_owner: list[str] = []
+
+
+def enter(owner: str) -> None:
+    """Called at the start of a task. Workers are used again by other stages; what another operator has left there goes,
+    so that it doesn't add up."""
+    if _owner != [owner]:
+        for clear in CLEAR:
+            clear()
+        _owner[:] = [owner]
+        trim()
+
+
 class Texts:
     """Some documents joined by a separator byte: data, and where each begins and ends."""
 

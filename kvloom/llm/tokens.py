@@ -172,6 +172,8 @@ def byte_encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+T.CLEAR += [word_encoder.cache_clear, byte_encoder.cache_clear]
+
 RULES = ("start", "majority", "split")
 #: A section ends after the blank that follows a full stop, question or exclamation mark, or after a line break.
 SECTION_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -233,6 +235,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, rule: str = "majority
     floats = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.enter("tokens")
         encoding, lengths = byte_encoder(path)
         for batch in batches:
             out: list[tuple] = []
