@@ -18,7 +18,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_documents(spark, sf_dir))
+    return lines.line_report(_documents(spark, sf_dir), by="pairs")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
