@@ -1,6 +1,8 @@
 """Operator 8: documents packed into sequences with their lexical neighbours.
 
-Documents are encoded once and dealt, where they are read, into shards of bounded size.
+Documents are encoded once and dealt into shards of bounded size by the ids they have, so that a
+shard has documents of one content whatever file they are in: those with the same weighted MinHash,
+in which rarer ids count more, come one after the other.
 Each shard has an inverted index with BM25 weights, whose document frequencies and mean
 length are those of all documents. A window's seed asks the index for unused neighbours,
 which fill it in order of score; the one that doesn't fit is cut, and what is left of it
@@ -35,32 +37,51 @@ VOCABULARY = 1 << 16
 COUNTED = 64
 
 
-def encode_shards(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """doc_id, shard and ids (little-endian unsigned 16-bit, with the end id) of each row, shards one after the other."""
+def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 16-bit, with the end id) of each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         T.enter("encode")
         encoder = word_encoder(path)
-        shard = TaskContext.get().partitionId() << 24
-        n_docs = n_ids = 0
         for batch in batches:
             parts = T.slices(batch.column(1))
             for a, b in T.groups(parts):
                 ids, bounds = encoder.encode(parts[a:b])
-                out, shards = [], []
-                for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    if n_docs == SHARD_DOCS or n_ids > SHARD_IDS:
-                        shard, n_docs, n_ids = shard + 1, 0, 0
-                    n_docs, n_ids = n_docs + 1, n_ids + y - x + 1
-                    shards.append(shard)
-                    out.append(np.append(ids[x:y], np.uint16(END)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(shards, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "shard", "ids"])
+                out = [np.append(ids[x:y], np.uint16(END)).tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
+
+
+def draws(idf: np.ndarray) -> np.ndarray:
+    """The place of each id in a draw weighted by idf; ids of one document, which no two share, come last."""
+    ticket = -np.log(np.random.default_rng(8).random(len(idf))) / np.maximum(idf, 1e-6) ** 2
+    df = np.exp(float(idf.max()) - idf) / 2 - 0.5  # an id that no document has is the one of the largest
+    ticket[df < 1.5] += 1e9
+    out = np.empty(len(idf), np.int32)
+    out[np.argsort(ticket)] = np.arange(len(idf), dtype=np.int32)
+    return out
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, shard long, ids binary")
+def deal(encoded: DataFrame, shared) -> DataFrame:
+    """The encoded rows in order of the two ids that come first in the draw; a key of many rows goes to several tasks."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = draws(shared.value[0])
+        for batch in batches:
+            first, second = [], []
+            for part in batch.column(1).to_pylist():
+                at = place[np.frombuffer(part, np.uint16)]
+                least = at.min()
+                first.append(int(least))
+                second.append(int(at.min(where=at > least, initial=len(place))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["doc_id", "ids", "k", "l"])
+
+    keyed = encoded.mapInArrow(run, f"doc_id {kind}, ids binary, k int, l int").withColumn("m", F.xxhash64("doc_id", "ids"))
+    return keyed.repartitionByRange("k", "l", "m").sortWithinPartitions("k", "l", "m").select("doc_id", "ids")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +215,20 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
     if window & (window - 1):
         raise ValueError("window is a power of two")
     path = path or vocabulary("word_bpe_49k.json")
-    encoded = checkpoint(encode_shards(docs, id_col, text_col, path))
+    encoded = checkpoint(encode(docs, id_col, text_col, path))
     shared = docs.sparkSession.sparkContext.broadcast(statistics(encoded))  # an entry an id of the vocabulary
     kind = encoded.schema["doc_id"].dataType.simpleString()
     id_type = pa.schema([("x", pa.int64())]).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         T.enter("pack")
         idf, mean = shared.value
         names: list = []
         texts: list[np.ndarray] = []
-        now = None
+        now = TaskContext.get().partitionId() << 24
+        n_ids = 0
 
         def flush() -> pa.RecordBatch:
             rows = zip(*pack_shard(names, texts, Index(texts, idf, mean), now, window))
@@ -212,17 +236,17 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
             return pa.RecordBatch.from_arrays(arrays[: 7 + with_ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
 
         for batch in batches:
-            for name, shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if shard != now and texts:
+            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(texts) == SHARD_DOCS or n_ids > SHARD_IDS:
                     yield flush()
-                    names, texts = [], []
-                now = shard
+                    names, texts, now, n_ids = [], [], now + 1, 0
                 names.append(name)
                 texts.append(np.frombuffer(ids, np.uint16))
+                n_ids += len(texts[-1])
         if texts:
             yield flush()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(encoded.schema["doc_id"].dataType)
-    return encoded.mapInArrow(run, f"doc_id {kind}, {_PIECES}" + ", ids binary" * with_ids)
+    return deal(encoded, shared).mapInArrow(run, f"doc_id {kind}, {_PIECES}" + ", ids binary" * with_ids)

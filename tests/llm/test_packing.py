@@ -78,3 +78,27 @@ def test_empty_table(spark, docs_of):
 def test_groups_cover_all():
     parts = [b"x" * n for n in (0, 5, 100, 3, 0)]
     assert [i for a, b in T.groups(parts, 6) for i in range(a, b)] == list(range(5))
+
+
+def test_neighbours_are_in_one_shard_whatever_the_file_order(docs_of, texts, monkeypatch):
+    """Of the five best BM25 neighbours over all documents, many are in a document's shard, though files mix the topics."""
+    monkeypatch.setattr(P, "SHARD_DOCS", 40)
+    rng = np.random.default_rng(5)
+    own = sorted({w for t in texts[:150] for w in (t or "").split() if w.isascii() and w.isalpha()})
+    topics = [rng.choice(own, 40) for _ in range(12)]
+    docs = [" ".join(rng.choice(topics[i % 12], 60)) for i in range(360)]
+    pieces = P.pack(docs_of(docs), with_ids=True).collect()
+    shard, ids = {}, defaultdict(list)
+    for r in sorted(pieces, key=lambda r: r.start):
+        shard[r.doc_id] = r.sequence_id >> 20
+        ids[r.doc_id].append(np.frombuffer(r.ids, "<u4").astype(np.uint16))
+    all_ids = [np.concatenate(ids[i]) for i in range(360)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in all_ids]), minlength=P.VOCABULARY)
+    index = P.Index(all_ids, np.log1p((360 - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in all_ids])))
+    found = []
+    for d in range(360):
+        scores = index.scores(d)
+        scores[d] = -1
+        found += [shard[d] == shard[n] for n in np.argsort(-scores)[:5].tolist()]
+    print("share", np.mean(found), len(set(shard.values())))
+    assert len(set(shard.values())) >= 9 and np.mean(found) >= 0.25  # by chance, one in nine
