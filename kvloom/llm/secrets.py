@@ -45,6 +45,8 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_", 24),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+#: Parts of a run that has characters of both base64 alphabets.
+WITHOUT_MINUS, WITHOUT_PLUS = re.compile(r"[A-Za-z0-9+/]{24,}"), re.compile(r"[A-Za-z0-9_-]{24,}")
 #: False-discovery rate at which a candidate is called not random.
 RATE = 0.05
 #: Bins of -log10(p) for the cut: 0 to 30 in steps of 1/20.
@@ -108,13 +110,24 @@ def infer(body: str) -> tuple[str, np.ndarray, int] | None:
     return None
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run: all of it if one alphabet holds it, else the maximal parts that one of the two base64 alphabets holds."""
+    plus, minus = re.search("[+/]", run), re.search("[-_]", run)
+    if not (plus and minus):
+        return [(0, len(run))]
+    out = {m.span() for rule in (WITHOUT_MINUS, WITHOUT_PLUS) for m in rule.finditer(run)}
+    # a part inside another is tested with that
+    return sorted(s for s in out if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in out))
+
+
 def candidates(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, encoding, p-value) of each candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
-        found = infer(m[0])
-        if found:
-            out.append((m.start(), m.end(), found[0], battery(found[1], found[2])))
+        for a, b in parts(m[0]):
+            found = infer(m[0][a:b])
+            if found:
+                out.append((m.start() + a, m.start() + b, found[0], battery(found[1], found[2])))
     return out
 
 

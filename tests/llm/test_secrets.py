@@ -79,3 +79,17 @@ def test_rows(spark, docs_of, data):
 def test_encodings(body, name):
     found = X.infer(body)
     assert (found and found[0]) == name
+
+
+def test_runs_of_both_base64_alphabets_are_split(spark, docs_of):
+    """A secret after a part of a path is found, whichever characters join them."""
+    rng = random.Random(7)
+    keys = ["".join(rng.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(40)) for _ in range(4)]
+    keys = [k[:9] + "+/" + k[11:] for k in keys]
+    for key in keys:
+        for before in ("my-repo/", "config_dir/"):
+            run = before + key
+            assert any(a <= 8 + len(before) and b == len(run) for a, b in X.parts(run))
+            assert any(e == "base64" and b == len(run) for _, b, e, _ in X.candidates(run))
+    assert X.parts("a" * 30) == [(0, 30)] and X.parts("a+_" * 10) == []
+    assert X.parts("x" * 30 + "_" + "y" * 30 + "/z") == [(0, 61), (31, 63)]
