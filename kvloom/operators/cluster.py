@@ -112,6 +112,33 @@ def sticky(hot: DataFrame, run: int = 5, score: float = 5.0) -> DataFrame:
     return runs.where(F.col("ticks") >= run).drop("island")
 
 
+def cooled(picks: DataFrame, most: int, cooldown: int = 30) -> DataFrame:
+    """picks: slot, tick, in ticks 0 to most - 1. Of each slot, those that are more than ``cooldown`` ticks after the last one that counted.
+
+    Which counts depends on the one before, so a slot's ticks are folded in order; there are ``most`` at most.
+    """
+    ticks = picks.groupBy("slot").agg(F.sort_array(F.collect_set(F.col("tick").cast("int"))).alias("ticks"))
+    start = F.struct(F.lit(-cooldown - 1).alias("last"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, t: Column) -> Column:
+        counts = t - acc["last"] > cooldown
+        return F.struct(F.when(counts, t).otherwise(acc["last"]).alias("last"), F.when(counts, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"))
+
+    folded = F.aggregate(F.filter("ticks", lambda t: (t >= 0) & (t < most)), start, step, lambda acc: acc["kept"])
+    return ticks.select("slot", F.explode(folded).alias("tick"))
+
+
+def owners_by_range(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """keys: key, slot; ranges: first, last, owner. Each key's owner, by a range join on at most 16,384 ranges."""
+    r = ranges.select("first", "last", "owner")
+    return keys.join(F.broadcast(r), F.col("slot").between(F.col("first"), F.col("last"))).select("key", "slot", "owner")
+
+
+def drain_slots(entries: DataFrame, moves: DataFrame) -> DataFrame:
+    """entries: key, slot, node; moves: slot, target. The entries after whole slots have moved."""
+    return entries.join(moves.select("slot", "target"), "slot", "left").select("key", "slot", F.coalesce("target", "node").alias("node"))
+
+
 def greedy_plan(hot: DataFrame, loads: DataFrame, me: str, top: int = 2) -> DataFrame:
     """hot: slot, qps, score (here); loads: node, qps. At most ``top`` slots move, the first by score, each to the node
     with the least load, if that is then no more than here; loads follow every move.

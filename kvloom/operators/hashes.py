@@ -38,16 +38,9 @@ def hdel_count(rows: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def hgetall(rows: DataFrame) -> DataFrame:
-    """A key's fields in order of their bytes, with keys and values apart as well."""
-    sorted_pairs = F.array_sort(F.collect_list(F.struct("field", "value")))
-    nested = rows.groupBy("key").agg(sorted_pairs.alias("pairs"))
-    join = lambda f: F.array_join(F.transform("pairs", f), ",")
-    return nested.select(
-        "key",
-        join(lambda p: F.concat(p["field"], F.lit("="), p["value"])).alias("pairs"),
-        join(lambda p: p["field"]).alias("fields"),
-        join(lambda p: p["value"]).alias("vals"),
-    )
+    """A key's pairs of field and value in order of the fields' bytes, with fields and values apart as well, as arrays."""
+    nested = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("pairs"))
+    return nested.select("key", "pairs", F.col("pairs.field").alias("fields"), F.col("pairs.value").alias("vals"))
 
 
 def hlen(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Lists in long form: key, i (from 0), value.
 
-A key's list is one ordered thing, so positions are numbered within a key. Replays of
+A key's list is one ordered thing, so positions are numbered within a key, in parts if it is long. Replays of
 pushes and pops in turn keep no more than the list itself while they read a key's rows.
 """
 
@@ -10,15 +10,18 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvloom.operators.positions import counted, numbered
+
 
 def pushed(pushes: DataFrame) -> DataFrame:
     """LPUSH and RPUSH: rows (key, value, left, us, seq) as lists. A later push at the left stands further left."""
     sign = F.when(F.col("left"), -1).otherwise(1)
-    w = Window.partitionBy("key").orderBy(sign, sign * F.col("us"), sign * F.col("seq"))
-    return pushes.select("key", (F.row_number().over(w) - 1).cast("long").alias("i"), "value")
+    rows = pushes.select("key", "value", (sign * F.col("us")).alias("__us"), (sign * F.col("seq")).alias("__seq"), sign.alias("__side"))
+    # places in time are positive, so the left ones come first
+    return numbered(rows, "key", [F.asc("__side"), F.asc("__us"), F.asc("__seq")], F.col("__us"), "i").select("key", "i", "value")
 
 
 def llen(rows: DataFrame) -> DataFrame:
@@ -33,32 +36,28 @@ def bounds(start: int, stop: int, n: Column) -> tuple[Column, Column]:
 
 
 def lrange(rows: DataFrame, start: int, stop: int) -> DataFrame:
-    """LRANGE and LTRIM: the rows within the range, numbered anew. The length is read off the numbering, without a second pass."""
-    n = F.max("i").over(Window.partitionBy("key")) + 1
+    """LRANGE and LTRIM: the rows within the range, numbered anew."""
     first, last = bounds(start, stop, F.col("n"))
-    return rows.withColumn("n", n).where(F.col("i").between(first, last)).select("key", (F.col("i") - first).alias("i"), "value")
+    return counted(rows).where(F.col("i").between(first, last)).select("key", (F.col("i") - first).alias("i"), "value")
 
 
 def lindex(rows: DataFrame, index: int) -> DataFrame:
-    n = F.max("i").over(Window.partitionBy("key")) + 1
-    return rows.withColumn("n", n).where(F.col("i") == F.lit(index) + (F.col("n") if index < 0 else 0)).select("key", "value")
+    if index >= 0:
+        return rows.where(F.col("i") == index).select("key", "value")
+    return counted(rows).where(F.col("i") == F.col("n") + index).select("key", "value")
 
 
 def lset(rows: DataFrame, index: int, value: str) -> DataFrame:
     """Keys whose list is too short stay as they are."""
-    n = F.max("i").over(Window.partitionBy("key")) + 1
     at = F.lit(index) + (F.col("n") if index < 0 else 0)
-    return rows.withColumn("n", n).select("key", "i", F.when(F.col("i") == at, F.lit(value)).otherwise(F.col("value")).alias("value"))
+    return (counted(rows) if index < 0 else rows).select("key", "i", F.when(F.col("i") == at, F.lit(value)).otherwise(F.col("value")).alias("value"))
 
 
 def popped(rows: DataFrame) -> DataFrame:
     """LPOP and then RPOP of each key, and how many elements are left."""
-    w = Window.partitionBy("key")
-    n = F.max("i").over(w) + 1
-    ends = rows.withColumn("n", n).where((F.col("i") == 0) | (F.col("i") == F.col("n") - 1))
-    lpop = F.max(F.when(F.col("i") == 0, F.col("value")))
-    rpop = F.max(F.when((F.col("i") == F.col("n") - 1) & (F.col("i") > 0), F.col("value")))
-    return ends.groupBy("key").agg(lpop.alias("lpop"), rpop.alias("rpop"), F.greatest(F.max("n") - 2, F.lit(0)).alias("rest"))
+    n = F.count(F.lit(1))
+    last = F.max_by("value", "i")
+    return rows.groupBy("key").agg(F.min_by("value", "i").alias("lpop"), F.when(n > 1, last).alias("rpop"), F.greatest(n - 2, F.lit(0)).alias("rest"))
 
 
 def replay(commands: DataFrame) -> DataFrame:

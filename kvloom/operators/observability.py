@@ -32,9 +32,39 @@ def error_rate(log: DataFrame, width_us: int, limit: float = 0.05) -> DataFrame:
     return counts.select("win", "errors", "total", ratio.alias("ratio"), (ratio > limit).alias("alert"))
 
 
-def quantile(log: DataFrame, q: float = 0.99, limit: float = 0.1) -> DataFrame:
-    exact = F.percentile("seconds", F.lit(q))
-    return log.groupBy("cmd").agg(exact.alias("value"), (exact > limit).alias("alert"))
+def error_rate_sliding(log: DataFrame, width_us: int, step_us: int, limit: float = 0.05) -> DataFrame:
+    """``error_rate`` of windows that begin every ``step_us``, of which each command is in several; start: where one begins."""
+    before = F.explode(F.sequence(F.lit(0), F.lit(width_us // step_us - 1)))
+    spread = log.select("us", "status", before.alias("k")).withColumn("start", (F.floor(F.col("us") / step_us) - F.col("k")) * step_us)
+    # a command goes to all its windows, and each task sums them before it sends anything
+    counts = spread.groupBy("start").agg(F.count_if(F.col("status") == "error").alias("errors"), F.count(F.lit(1)).alias("total"))
+    seconds = F.lit(width_us / 1_000_000)
+    ratio = (F.col("errors") / seconds) / F.greatest(F.col("total") / seconds, F.lit(1.0))
+    return counts.select("start", "errors", "total", ratio.alias("ratio"), (ratio > limit).alias("alert"))
+
+
+def quantile(log: DataFrame, q: float = 0.99, limit: float = 0.1, many: int = 100_000) -> DataFrame:
+    """The exact quantile of each command's seconds, between its two neighbours in proportion.
+
+    Equal times are counted first. The times of a command of more than ``many`` rows are cut at its rough quantiles, so that
+    no task holds more than a part of them; only the part that has the wanted rank is ordered.
+    """
+    times = log.groupBy("cmd", "seconds").agg(F.count(F.lit(1)).alias("n"))
+    total = log.groupBy("cmd").agg(F.count(F.lit(1)).alias("m"), F.percentile_approx("seconds", [max(q - 0.005, 0.0), min(q + 0.005, 1.0)], 2000).alias("near"))
+    low, high = F.get("near", F.lit(0)), F.get("near", F.lit(1))
+    joined = times.join(total, "cmd")
+    side = joined.select("cmd", "seconds", "n", "m", F.when(F.col("m") <= many, 0).when(F.col("seconds") < low, -1).when(F.col("seconds") > high, 1).otherwise(0).alias("side"))
+    below = side.groupBy("cmd", "m").agg(F.sum(F.when(F.col("side") < 0, F.col("n")).otherwise(0)).alias("below"), F.min(F.when(F.col("side") > 0, F.col("seconds"))).alias("next"))
+    own = side.where("side = 0").select("cmd", "seconds", "n")
+    upto = F.sum("n").over(Window.partitionBy("cmd").orderBy("seconds")).alias("upto")
+    ranked = own.select("cmd", "seconds", "n", upto).join(below, "cmd")
+    place = F.lit(q) * (F.col("m") - 1)
+    # ranks from 0 that a time has, those before it left out
+    end = F.col("below") + F.col("upto") - 1
+    at = lambda rank: F.min(F.when(end >= rank, F.col("seconds")))
+    found = ranked.groupBy("cmd").agg(at(F.floor(place)).alias("a"), F.coalesce(at(F.ceil(place)), F.first("next")).alias("b"), F.first("m").alias("m"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
+    return found.select("cmd", value.alias("value"), (value > limit).alias("alert"))
 
 
 def idle_counter(samples: DataFrame) -> DataFrame:

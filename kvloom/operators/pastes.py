@@ -42,12 +42,14 @@ def read(pastes: DataFrame, reads: DataFrame) -> DataFrame:
     return joined.select("seq", "code", (F.coalesce(alive, F.lit(False)) & (limit.isNull() | (F.col("n") <= limit))).alias("served"))
 
 
-def admin_list(pastes: DataFrame, views: DataFrame, n: int = 100) -> DataFrame:
-    """The newest pastes that still have views left."""
+def admin_list(pastes: DataFrame, views: DataFrame, page: int | None = None) -> DataFrame:
+    """All pastes that still have views left; with ``page``, the newest so many in order."""
     seen = views.groupBy("code").agg(F.count(F.lit(1)).alias("views"))
     left = pastes.join(seen, "code", "left").withColumn("views", F.coalesce("views", F.lit(0)))
     open_ones = left.where((F.col("max_views") == 0) | (F.col("views") < F.col("max_views")))
-    return open_ones.orderBy(F.desc("created_us"), "code").limit(n).select("code", "created_us", "views")
+    if page is not None:
+        open_ones = open_ones.orderBy(F.desc("created_us"), "code").limit(page)
+    return open_ones.select("code", "created_us", "views")
 
 
 def usage(pastes: DataFrame, served: DataFrame, now: int) -> DataFrame:

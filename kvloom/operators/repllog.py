@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvloom.operators import positions
+
 #: Operations that replicas get.
 REPLICATED = ("SET", "MSET", "HSET", "DEL", "RENAME", "EXPIRE", "PEXPIRE", "EXPIREAT", "PERSIST")
 BACKLOG = 1024
@@ -12,8 +17,8 @@ BACKLOG = 1024
 
 def numbered(commands: DataFrame) -> DataFrame:
     """LSNs from 1 within each slot, in the log's order."""
-    w = Window.partitionBy("slot").orderBy("us", "seq")
-    return commands.withColumn("lsn", F.row_number().over(w).cast("long"))
+    rows = positions.numbered(commands, "slot", [F.asc("us"), F.asc("seq")], F.col("us"), "lsn")
+    return rows.withColumn("lsn", F.col("lsn") + 1)
 
 
 def backlog(log: DataFrame, most: int = BACKLOG) -> DataFrame:
@@ -53,11 +58,81 @@ def dedupe(received: DataFrame, strict_gaps: bool = False) -> DataFrame:
 
 
 def replay(log: DataFrame) -> DataFrame:
-    """The strings after SET (key, value), DEL and again SET in turn: the last operation of each key, unless it is a DEL."""
+    """The strings after SET (key, value), DEL and again SET in turn: the last operation of each key, unless it is a DEL.
+
+    ``replay_all`` does every replicated operation; this is the plan for logs of these two, a row a key and task.
+    """
     last = log.groupBy("key").agg(F.max_by(F.struct("op", "value"), F.struct("us", "seq")).alias("last"))
     return last.where(F.col("last.op") != "DEL").select("key", "last.value")
 
 
+def replay_all(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """The keyspace after all replicated operations: a row a key and field (key, type, field, value, expire_us).
+
+    log: slot, key, op, args (array of text), us, seq. SET and MSET take one value, HSET pairs of field and value, RENAME the new
+    key, EXPIRE seconds and PEXPIRE milliseconds after ``us``, EXPIREAT seconds since 1970. A string's field is null. As the
+    reference has it: a time of 0 or less takes the expiry away, EXPIREAT in the past deletes, SET and MSET replace any type
+    and expiry, HSET on another type is refused, RENAME keeps type and expiry and replaces its target. A snapshot (slot and
+    these columns) is what was there before.
+
+    RENAME moves what a key has, so keys of one slot depend on each other, and on nothing else: rows are dealt and sorted by
+    slot, and a task folds its slots as a stream and holds one slot's keys.
+    """
+    unknown = ~F.col("op").isin(*REPLICATED)
+    rows = log.where(~unknown).select("slot", "key", "op", "args", "us", "seq", F.lit(None).cast("long").alias("expire_us"))
+    if snapshot is not None:
+        first = snapshot.select("slot", "key", F.concat(F.lit("."), "type").alias("op"), F.array("field", "value").alias("args"), F.lit(-(1 << 63)).alias("us"), F.lit(0).cast("long").alias("seq"), "expire_us")
+        rows = first.unionByName(rows)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, keys = None, {}
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if row.slot != slot:
+                    yield _held(keys)
+                    slot, keys = row.slot, {}
+                _apply(keys, row)
+        yield _held(keys)
+
+    dealt = rows.repartition("slot").sortWithinPartitions("slot", "us", "seq")
+    return dealt.mapInPandas(fold, "key string, type string, field string, value string, expire_us long")
+
+
+def _apply(keys: dict, row) -> None:
+    """One operation on {key: [type, {field: value}, expiry or None]}."""
+    op, key, args = row.op, row.key, list(row.args)
+    own = keys.get(key)
+    if op[0] == ".":
+        kept = keys.setdefault(key, [op[1:], {}, None if pd.isna(row.expire_us) else int(row.expire_us)])
+        kept[1][args[0]] = args[1]
+    elif op in ("SET", "MSET"):
+        keys[key] = ["string", {None: args[0]}, None]
+    elif op == "HSET":
+        if own is None or own[0] == "hash":
+            keys.setdefault(key, ["hash", {}, None])[1].update(zip(args[0::2], args[1::2]))
+    elif own is None:
+        return
+    elif op == "DEL":
+        del keys[key]
+    elif op == "RENAME":
+        keys[args[0]] = keys.pop(key)
+    elif op == "PERSIST":
+        own[2] = None
+    elif op == "EXPIREAT":
+        own[2] = int(args[0]) * 1_000_000
+        if own[2] <= row.us:
+            del keys[key]
+    else:
+        us = int(args[0]) * (1_000_000 if op == "EXPIRE" else 1000)
+        own[2] = row.us + us if us > 0 else None
+
+
+def _held(keys: dict) -> pd.DataFrame:
+    rows = [(key, kind, field, value, expiry) for key, (kind, fields, expiry) in keys.items() for field, value in fields.items()]
+    out = pd.DataFrame(rows, columns=["key", "type", "field", "value", "expire_us"])
+    return out.astype({"expire_us": "Int64"})
+
+
 def acknowledged(acks: DataFrame) -> DataFrame:
     return acks.groupBy("slot", "node").agg(F.max("lsn").alias("lsn"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvloom.operators.positions import numbered, prefix_number
+
 
 def sadd(rows: DataFrame) -> DataFrame:
     return rows.select("key", "member").distinct()
@@ -23,8 +25,7 @@ def scard(rows: DataFrame) -> DataFrame:
 
 def smembers(rows: DataFrame) -> DataFrame:
     """Members in order of their bytes, a row each."""
-    w = Window.partitionBy("key").orderBy("member")
-    return sadd(rows).select("key", "member", (F.row_number().over(w) - 1).cast("long").alias("i"))
+    return numbered(sadd(rows), "key", [F.asc("member")], prefix_number(F.col("member")), "i")
 
 
 def sismember(rows: DataFrame, probes: DataFrame) -> DataFrame:
@@ -53,3 +54,8 @@ def sample(rows: DataFrame, n: int) -> DataFrame:
     """SRANDMEMBER, SPOP (an extension): n members of each key, the same for the same set: those whose digests are the smallest."""
     w = Window.partitionBy("key").orderBy(F.md5(F.col("member").cast("binary")), "member")
     return sadd(rows).withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("key", "member")
+
+
+def pop(rows: DataFrame, n: int) -> DataFrame:
+    """SPOP (an extension): the members that stay once ``sample`` has gone."""
+    return srem(rows, sample(rows, n))

@@ -27,9 +27,12 @@ def admit(frequencies: DataFrame, pairs: DataFrame, strict: bool = False) -> Dat
 
 
 def decayed(accesses: DataFrame, bucket_us: int, buckets: int, now: int) -> DataFrame:
-    """A count that is halved, rounded down, after each interval, folded in order as rounding does not commute."""
-    age = F.floor((F.lit(now) - F.col("us")) / bucket_us).cast("int")
-    counts = accesses.where((age >= 0) & (age < buckets)).groupBy("key", (F.lit(buckets - 1) - age).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """A count that is halved, rounded down, after each interval, folded in order as rounding does not commute.
+
+    What is older than all intervals counts in the first one. Accesses after ``now`` don't count yet.
+    """
+    age = F.least(F.floor((F.lit(now) - F.col("us")) / bucket_us), F.lit(buckets - 1)).cast("int")
+    counts = accesses.where(age >= 0).groupBy("key", (F.lit(buckets - 1) - age).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     nested = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by"))  # at most ``buckets`` entries
     steps = F.sequence(F.lit(0), F.lit(buckets - 1))
     fold = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, b: F.floor((acc + F.coalesce(F.try_element_at("by", b), F.lit(0).cast("long"))) / 2).cast("long"))
@@ -43,3 +46,20 @@ def count_min(accesses: DataFrame, error: float = 0.001, confidence: float = 0.9
 
 def distinct_keys(accesses: DataFrame, error: float = 0.02) -> DataFrame:
     return accesses.agg(F.approx_count_distinct("key", error).alias("approx"), F.countDistinct("key").alias("exact"))
+
+
+def _cells(rows: DataFrame, width: int, depth: int) -> DataFrame:
+    """rows (key, ...) once for each row of the sketch, with the cell of the key there."""
+    return rows.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(depth)))).withColumn("cell", F.pmod(F.xxhash64("line", "key"), F.lit(width)))
+
+
+def count_min_table(accesses: DataFrame, width: int = 65_536, depth: int = 4, cap: int | None = None) -> DataFrame:
+    """A count-min sketch as a table (line, cell, n) of at most depth x width rows; counters stop at the cap."""
+    n = F.count(F.lit(1))
+    return _cells(accesses.select("key"), width, depth).groupBy("line", "cell").agg((F.least(n, F.lit(cap)) if cap else n).alias("n"))
+
+
+def estimated(table: DataFrame, keys: DataFrame, width: int = 65_536, depth: int = 4) -> DataFrame:
+    """The sketch's estimate for each key (once): the least of its cells."""
+    cells = _cells(keys.select("key"), width, depth).join(table, ["line", "cell"], "left")
+    return cells.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))

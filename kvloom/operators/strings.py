@@ -44,6 +44,21 @@ def mget(keyspace: DataFrame, request: DataFrame) -> DataFrame:
     return request.join(keyspace.select("key", "value"), "key", "left").select("pos", "key", "value")
 
 
+def get(keyspace: DataFrame, probes: DataFrame) -> DataFrame:
+    """keyspace: key, type, value. The value of each probed key; null if it is not there, and with an error if it is no string."""
+    found = probes.join(keyspace.select("key", "type", "value"), "key", "left")
+    wrong = F.col("type") != "string"
+    return found.select("key", F.when(~wrong, F.col("value")).alias("value"), F.when(wrong, "WRONGTYPE").alias("error"))
+
+
+def get_as_of(writes: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes: request, key, us. The value of the key at that time: that of the last write until then."""
+    w = writes.select("key", "value", F.col("us").alias("w_us"), F.col("seq").alias("w_seq"))
+    # of a key's writes, a request keeps one in each task
+    joined = probes.join(w, (probes["key"] == w["key"]) & (w["w_us"] <= probes["us"]), "left")
+    return joined.groupBy("request").agg(F.max_by("value", F.struct("w_us", "w_seq")).alias("value"))
+
+
 def append(writes: DataFrame) -> DataFrame:
     """The ordered concatenation of a key's values; this is the value of one key, so it is as large as that."""
     ordered = F.array_sort(F.collect_list(F.struct("us", "seq", "value")))

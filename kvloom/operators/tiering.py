@@ -67,19 +67,28 @@ def utility(now: int) -> Column:
     return WEIGHTS["uses"] * F.log1p("uses") - WEIGHTS["idle"] * hours("last_us") - WEIGHTS["size"] * F.col("size") / 1024 - WEIGHTS["write"] * write
 
 
-def cost_policy(stats: DataFrame, now: int, protected: int = 10, percent: int = 20, idle: int = HOT_IDLE_S) -> DataFrame:
-    """Hot keys that are idle and rarely used go down, warm ones that are worth little too; what is used enough goes up."""
+def cost_policy(stats: DataFrame, now: int, protected: int = 10, percent: int = 20, idle: int = HOT_IDLE_S, estimates: DataFrame | None = None) -> DataFrame:
+    """Hot keys that are idle and rarely used go down, warm ones that are worth little too; what is used enough goes up.
+
+    estimates (key, estimate) are a sketch's frequencies; a key that it does not know has its own uses.
+    """
     low = window_frequency(protected, percent)
-    f = F.least("uses", F.lit(255))
+    estimate = F.lit(0)
+    if estimates is not None:
+        stats, estimate = stats.join(estimates.select("key", "estimate"), "key", "left"), F.col("estimate")
+    f = frequency(estimate, F.col("uses"))
     down = (F.col("tier") == "hot") & (idle_s(now) > idle) & ((f <= low) | (f < protected))
     down = down | ((F.col("tier") == "warm") & (utility(now) <= DEMOTE_AT))
     up = (F.col("tier") != "hot") & (f >= protected)
     return stats.select("key", "tier", F.round(utility(now), 6).alias("utility"), F.when(up, "promote").when(down, "demote").otherwise("stay").alias("move"))
 
 
-def migration_plan(stats: DataFrame, now: int, batch: int = 100, budget: int | None = None) -> DataFrame:
-    """The demotions of one run: of each tier the ``batch`` idlest keys, and of those as many as the bytes allow."""
-    moves = default_policy(stats, now).where("move = 'demote'").select("key")
+def migration_plan(stats: DataFrame, now: int, batch: int = 100, budget: int | None = None, policy=None) -> DataFrame:
+    """The demotions of one run: of each tier the ``batch`` idlest keys, and of those as many as the bytes allow.
+
+    ``policy`` is ``default_policy`` or, as the reference's server has it, ``cost_policy``.
+    """
+    moves = (policy or default_policy)(stats, now).where("move = 'demote'").select("key")
     w = Window.partitionBy("tier").orderBy("last_us", "key")
     plan = stats.join(moves, "key", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= batch)
     plan = plan.withColumn("total", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))  # at most ``batch`` rows a tier
@@ -117,6 +126,33 @@ def tier_sizes(tiers: list[DataFrame]) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("summed"))
 
 
+def delete(tiers: list[DataFrame], keys: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """DEL in all tiers: what each keeps, and one row with how many keys went and the sum of what went from each tier."""
+    gone = keys.select("key").distinct()
+    left = [df.join(gone, "key", "left_anti") for df in tiers]
+    rows = None
+    for df in tiers:
+        part = df.join(gone, "key", "left_semi").select("key")
+        rows = part if rows is None else rows.unionByName(part)
+    each = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return left, each.agg(F.count(F.lit(1)).alias("deleted"), F.coalesce(F.sum("n"), F.lit(0)).alias("summed"))
+
+
+def rollup(stats: DataFrame) -> DataFrame:
+    """Keys and bytes by tier and type, by tier, and in all (an extension); "all" stands for what is summed over."""
+    out = stats.rollup("tier", "type").agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("bytes"))
+    return out.select(F.coalesce("tier", F.lit("all")).alias("tier"), F.coalesce("type", F.lit("all")).alias("type"), "keys", "bytes")
+
+
+def demote_rows(entries: DataFrame, moves: DataFrame, now: int) -> DataFrame:
+    """entries: key, tier, type, value, expire_at_us. Rows after a run's moves, with their type and expiry; those that have expired don't move."""
+    live = F.col("expire_at_us").isNull() | (F.col("expire_at_us") >= now)
+    joined = entries.join(moves.where("move <> 'stay'").select("key", "move"), "key", "left")
+    down = F.when(F.col("tier") == "hot", "warm").otherwise("cold")
+    tier = F.when(live & (F.col("move") == "demote"), down).when(live & (F.col("move") == "promote"), "hot").otherwise(F.col("tier"))
+    return joined.withColumn("tier", tier).drop("move")
+
+
 def moved(stats: DataFrame, moves: DataFrame) -> DataFrame:
     """Statistics after a run's moves (key, move): hot to warm or warm to cold, and anything promoted to hot."""
     joined = stats.join(moves.select("key", "move"), "key", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvloom.operators.positions import counted, numbered
 from kvloom.sources.views import place
 
 
@@ -19,9 +20,9 @@ def zincrby(writes: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, descending: bool = False) -> DataFrame:
     """ZRANK: rows with their rank from 0."""
-    by = [F.desc("score"), F.desc("member")] if descending else ["score", "member"]
-    w = Window.partitionBy("key").orderBy(*by)
-    return rows.select("key", "member", "score", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+    by = [F.desc("score"), F.desc("member")] if descending else [F.asc("score"), F.asc("member")]
+    rough = -F.col("score") if descending else F.col("score")
+    return numbered(rows.select("key", "member", "score"), "key", by, rough, "rank")
 
 
 def top(rows: DataFrame, n: int, descending: bool = False) -> DataFrame:
@@ -35,9 +36,8 @@ def zrange(rows: DataFrame, start: int, stop: int) -> DataFrame:
     """Any range, with scores; ends may be negative."""
     from kvloom.operators.lists import bounds
 
-    n = F.max("rank").over(Window.partitionBy("key")) + 1
     first, last = bounds(start, stop, F.col("n"))
-    return ranked(rows).withColumn("n", n).where(F.col("rank").between(first, last)).select("key", "rank", "member", "score")
+    return counted(ranked(rows)).where(F.col("rank").between(first, last)).select("key", "rank", "member", "score")
 
 
 def zcard(rows: DataFrame) -> DataFrame:

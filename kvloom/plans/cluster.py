@@ -10,6 +10,7 @@ from kvloom.operators import cluster, repllog, sketches, tiering
 from kvloom.plans.registry import LOG, NOW, query
 from kvloom.sources import views as V
 
+DAY = 86_400_000_000
 TABLE = ", ".join(map(str, crc_table()))
 
 
@@ -209,6 +210,59 @@ def repl_replay(spark: SparkSession, d: str) -> DataFrame:
     return repllog.replay(_repl(spark, d))
 
 
+#: A log of all replicated operations on a user's string and hash, which a tag keeps in one slot.
+ALL_OPS = f"""WITH {LOG}, o AS (SELECT *, seq % 10 AS n, '{{user:' || user_id || '}}' AS tag FROM log),
+g AS (SELECT *, sum(CASE WHEN n IN (0, 1, 3, 6, 7) THEN 1 ELSE 0 END) OVER (PARTITION BY tag ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS life FROM o WHERE n <> 2),
+e AS (SELECT tag, life, arg_min(n, (us, seq)) AS first, arg_min(op, (us, seq)) AS value, min((us, seq)) AS at,
+  arg_max(CASE n WHEN 4 THEN us + 5000000 WHEN 8 THEN us + 7000 WHEN 9 THEN {NOW} WHEN 5 THEN 0 END, (us, seq)) FILTER (n IN (4, 5, 8, 9)) AS expiry FROM g WHERE life > 0 GROUP BY tag, life),
+x AS (SELECT *, lead(first) OVER (PARTITION BY tag ORDER BY life) AS after FROM e),
+r AS (SELECT tag, arg_max(value, life) AS value, arg_max(coalesce(expiry, 0), life) AS expiry FROM x WHERE first IN (0, 1, 7) AND after = 6 GROUP BY tag)"""
+
+
+@query(
+    f"""{ALL_OPS} SELECT tag AS key, 'string' AS type, '' AS field, value, coalesce(expiry, 0) AS expire_us FROM x WHERE after IS NULL AND first IN (0, 1, 7)
+UNION ALL SELECT tag || ':r', 'string', '', value, expiry FROM r
+UNION ALL SELECT tag || ':h', 'hash', op, arg_max(txt, (us, seq)), 0 FROM o WHERE n = 2 GROUP BY tag, op"""
+)
+def repl_replay_all(spark: SparkSession, d: str) -> DataFrame:
+    return _all_replayed(_all_ops(spark, d))
+
+
+def _all_ops(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("seq") % 10).cast("int")
+    names = F.array(*[F.lit(x) for x in ("SET", "SET", "HSET", "DEL", "EXPIRE", "PERSIST", "RENAME", "MSET", "PEXPIRE", "EXPIREAT")])
+    tag = F.concat(F.lit("{user:"), F.col("user_id").cast("string"), F.lit("}"))
+    args = F.when(n == 2, F.array("op", "text")).when(n == 4, F.array(F.lit("5"))).when(n == 6, F.array(F.concat(tag, F.lit(":r")))).when(n == 8, F.array(F.lit("7"))).when(n == 9, F.array(F.lit(str(NOW // 1_000_000)))).otherwise(F.array("op"))
+    return V.log(spark, d).select(F.when(n == 2, F.concat(tag, F.lit(":h"))).otherwise(tag).alias("key"), F.get(names, n).alias("op"), args.alias("args"), "us", "seq").withColumn("slot", slot(F.col("key")))
+
+
+def _all_replayed(log: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    return repllog.replay_all(log, snapshot).select("key", "type", F.coalesce("field", F.lit("")).alias("field"), "value", F.coalesce("expire_us", F.lit(0)).alias("expire_us"))
+
+
+@query(
+    f"""{ALL_OPS} SELECT tag AS key, 'string' AS type, '' AS field, value, coalesce(expiry, 0) AS expire_us FROM x WHERE after IS NULL AND first IN (0, 1, 7)
+UNION ALL SELECT tag || ':r', 'string', '', value, expiry FROM r
+UNION ALL SELECT tag || ':h', 'hash', op, arg_max(txt, (us, seq)), 0 FROM o WHERE n = 2 GROUP BY tag, op"""
+)
+def repl_full_sync_all(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of the first half of January, and the rest of the log on top of it: the same as the whole log."""
+    ops = _all_ops(spark, d)
+    half = V.NOW_US - 15 * DAY
+    before = repllog.replay_all(ops.where(F.col("us") < half)).withColumn("slot", slot(F.col("key")))
+    return _all_replayed(ops.where(F.col("us") >= half), before)
+
+
+@query(f"{REPL} SELECT slot, CAST(e AS INTEGER) AS epoch, lsn FROM r, (VALUES (1), (2)) t(e) WHERE lsn % 5 <> 4 AND (e = 1 OR lsn <= 3)")
+def repl_dedupe_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs one after the other, then what is late of the first; one operation in five never came."""
+    r = _repl(spark, d).where("lsn % 5 <> 4").select("slot", "lsn")
+    first = r.select("slot", F.lit(1).alias("epoch"), "lsn", F.col("lsn").alias("seq"))
+    second = r.where("lsn <= 3").select("slot", F.lit(2).alias("epoch"), "lsn", (F.lit(1 << 40) + F.col("lsn")).alias("seq"))
+    stale = r.select("slot", F.lit(1).alias("epoch"), (F.col("lsn") + 1_000_000).alias("lsn"), (F.lit(1 << 41) + F.col("lsn")).alias("seq"))
+    return repllog.dedupe(first.unionByName(second).unionByName(stale)).select("slot", "epoch", "lsn")
+
+
 @query(f"{REPL} SELECT slot, 1 AS epoch, lsn FROM r")
 def repl_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Every operation is sent twice, the second time after a pause; each is applied once."""
@@ -390,21 +444,76 @@ def cms_sketch_size(spark: SparkSession, d: str) -> DataFrame:
     return sketches.count_min(V.log(spark, d)).select(F.octet_length("sketch").alias("bytes"))
 
 
-@query()
+@query(f"WITH {LOG} SELECT key, true AS within FROM log GROUP BY key")
+def cms_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each key's estimate is no less than its uses, and no more than the sketch's error above them."""
+    log = V.log(spark, d)
+    table = sketches.count_min_table(log, 2048, 4)
+    estimates = sketches.estimated(table, log.select("key").distinct(), 2048, 4)
+    uses = log.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    bound = F.col("uses") + F.lit(8 / 2048 * log.count())
+    return uses.join(estimates, "key").select("key", ((F.col("estimate") >= F.col("uses")) & (F.col("estimate") <= bound)).alias("within"))
+
+
+@query(f"WITH {LOG} SELECT count(DISTINCT key) AS exact, true AS near FROM log")
 def distinct_approx(spark: SparkSession, d: str) -> DataFrame:
-    return sketches.distinct_keys(V.log(spark, d))
+    """The exact count, and whether the sketch is within five of its standard errors."""
+    return sketches.distinct_keys(V.log(spark, d)).select("exact", (F.abs(F.col("approx") - F.col("exact")) <= 0.1 * F.col("exact") + 1).alias("near"))
 
 
-DAY = 86_400_000_000
+@query(f"WITH {LOG} SELECT key, least(count(*), 255) AS frequency FROM log GROUP BY key")
+def cms_frequency_tiered(spark: SparkSession, d: str) -> DataFrame:
+    return sketches.capped_frequency(V.log(spark, d), 255)
 
 
 @query(
-    f"""WITH RECURSIVE {LOG}, b AS (SELECT key, CAST(29 - floor(({NOW} - us) / {DAY}) AS INTEGER) AS b, count(*) AS n FROM log WHERE {NOW} - us >= 0 AND floor(({NOW} - us) / {DAY}) < 30 GROUP BY 1, 2),
-k AS (SELECT DISTINCT key FROM b), f(key, b, uses) AS (SELECT key, -1, 0::BIGINT FROM k UNION ALL SELECT f.key, f.b + 1, (f.uses + coalesce(b.n, 0)) // 2 FROM f LEFT JOIN b ON f.key = b.key AND b.b = f.b + 1 WHERE f.b < 29)
-SELECT key, uses FROM f WHERE b = 29"""
+    f"""WITH RECURSIVE {LOG}, b AS (SELECT key, CAST(9 - least(floor(({NOW} - us) / {DAY}), 9) AS INTEGER) AS b, count(*) AS n FROM log WHERE {NOW} - us >= 0 GROUP BY 1, 2),
+k AS (SELECT DISTINCT key FROM b), f(key, b, uses) AS (SELECT key, -1, 0::BIGINT FROM k UNION ALL SELECT f.key, f.b + 1, (f.uses + coalesce(b.n, 0)) // 2 FROM f LEFT JOIN b ON f.key = b.key AND b.b = f.b + 1 WHERE f.b < 9)
+SELECT key, uses FROM f WHERE b = 9"""
 )
 def tier_decay(spark: SparkSession, d: str) -> DataFrame:
-    return sketches.decayed(V.log(spark, d), DAY, 30, V.NOW_US)
+    """Ten days are told apart; what is older counts in the first of them."""
+    return sketches.decayed(V.log(spark, d), DAY, 10, V.NOW_US)
+
+
+@query(f"{STATS} SELECT CASE WHEN grouping(tier) = 1 THEN 'all' ELSE tier END AS tier, CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count(*) AS keys, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT *, CASE WHEN uses % 2 = 0 THEN 'string' ELSE 'hash' END AS type FROM stats) GROUP BY ROLLUP (tier, type)")
+def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return tiering.rollup(_stats(spark, d).withColumn("type", F.when(F.col("uses") % 2 == 0, "string").otherwise("hash")))
+
+
+@query(f"{STATS} SELECT key, CASE WHEN tier <> 'hot' AND f >= 10 THEN 'promote' WHEN (tier = 'hot' AND idle > 300 AND (f <= 2 OR f < 10)) OR (tier = 'warm' AND {UTILITY} <= -0.5) THEN 'demote' ELSE 'stay' END AS move FROM (SELECT *, CASE WHEN uses % 3 = 0 THEN uses // 2 ELSE least(uses, 255) END AS f FROM stats)")
+def tier_policy_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch knows one key in three, and tells half of its uses."""
+    stats = _stats(spark, d)
+    known = stats.where("uses % 3 = 0").select("key", F.floor(F.col("uses") / 2).alias("estimate"))
+    return tiering.cost_policy(stats, V.NOW_US, estimates=known).select("key", "move")
+
+
+@query(
+    f"""{STATS}, c AS (SELECT key, tier, last_us, size FROM stats WHERE NOT (tier <> 'hot' AND least(uses, 255) >= 70) AND ((tier = 'hot' AND idle > 300 AND (least(uses, 255) <= 14 OR least(uses, 255) < 70)) OR (tier = 'warm' AND {UTILITY} <= -0.5))),
+p AS (SELECT key, tier, row_number() OVER w AS n, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM c WINDOW w AS (PARTITION BY tier ORDER BY last_us, key)) SELECT key, tier, n, CAST(total AS BIGINT) AS total_bytes FROM p WHERE n <= 100"""
+)
+def tier_migration_plan_cost(spark: SparkSession, d: str) -> DataFrame:
+    return tiering.migration_plan(_stats(spark, d), V.NOW_US, 100, policy=lambda stats, now: tiering.cost_policy(stats, now, protected=70))
+
+
+@query(f"{TIERS}, k AS (SELECT key FROM w WHERE u % 2 = 0 UNION ALL SELECT key FROM w WHERE u % 3 = 0), g AS (SELECT key, count(*) AS n FROM k WHERE key IN (SELECT 'user:' || c_custkey FROM customer) GROUP BY key) SELECT count(*) AS deleted, CAST(coalesce(sum(n), 0) AS BIGINT) AS summed FROM g")
+def tier_del(spark: SparkSession, d: str) -> DataFrame:
+    """Of two tiers that share a third of the smaller one's keys."""
+    users = V.log(spark, d).groupBy("key").agg(F.max("user_id").alias("u"))
+    tiers = [users.where("u % 2 = 0").select("key"), users.where("u % 3 = 0").select("key")]
+    wanted = V.customer_keys(spark, d).select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return tiering.delete(tiers, wanted)[1]
+
+
+@query(
+    f"""{STATS} SELECT key, CASE WHEN uses % 4 = 0 OR move = 'stay' THEN tier WHEN move = 'promote' THEN 'hot' WHEN tier = 'hot' THEN 'warm' ELSE 'cold' END AS tier, 'string' AS type, CASE WHEN uses % 4 = 0 THEN {NOW} - 1 ELSE {NOW} + uses END AS expire_at_us FROM moves"""
+)
+def tier_demote_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows move with type and expiry; one key in four or so has expired and stays."""
+    stats = _stats(spark, d)
+    entries = stats.select("key", "tier", F.lit("string").alias("type"), F.when(F.col("uses") % 4 == 0, F.lit(V.NOW_US - 1)).otherwise(F.lit(V.NOW_US) + F.col("uses")).alias("expire_at_us"))
+    return tiering.demote_rows(entries, tiering.default_policy(stats, V.NOW_US), V.NOW_US).select("key", "tier", "type", "expire_at_us")
 
 
 # ---- hot slots
@@ -445,7 +554,37 @@ def hot_baseline(spark: SparkSession, d: str) -> DataFrame:
     return cluster.baseline(_traffic(spark, d), 30).withColumn("baseline", F.round("baseline", 6))
 
 
-@query()
+@query(
+    f"""{TRAFFIC.replace('WITH', 'WITH RECURSIVE', 1)}, c(slot, tick) AS (SELECT slot, min(tick) FROM t WHERE requests >= 3 GROUP BY slot UNION ALL SELECT c.slot, (SELECT min(tick) FROM t WHERE t.slot = c.slot AND requests >= 3 AND t.tick > c.tick + 5) FROM c
+WHERE EXISTS (SELECT 1 FROM t WHERE t.slot = c.slot AND requests >= 3 AND t.tick > c.tick + 5)) SELECT slot, CAST(tick AS INTEGER) AS tick FROM c"""
+)
+def hot_cooldown(spark: SparkSession, d: str) -> DataFrame:
+    """Days on which a slot has three requests, with five days of rest after each that counts."""
+    return cluster.cooled(_traffic(spark, d).where("requests >= 3").select("slot", "tick"), 64, 5)
+
+
+@query(f"{CUST} SELECT key, slot, CASE WHEN slot < 5000 THEN 'node-0' WHEN slot < 11000 THEN 'node-1' ELSE 'node-2' END AS owner FROM k")
+def slot_owner_ranges(spark: SparkSession, d: str) -> DataFrame:
+    ranges = spark.createDataFrame([(0, 4999, "node-0"), (5000, 10999, "node-1"), (11000, 16383, "node-2")], "first int, last int, owner string")
+    return cluster.owners_by_range(cluster.with_slot(V.customer_keys(spark, d).select("key")), ranges)
+
+
+@query(f"{CUST} SELECT key, slot, CASE WHEN slot % 10 = 0 THEN 'node-9' ELSE 'node-' || slot % 3 END AS node FROM k")
+def slot_drain(spark: SparkSession, d: str) -> DataFrame:
+    """One slot in ten moves as a whole."""
+    entries = cluster.with_slot(V.customer_keys(spark, d).select("key")).withColumn("node", F.concat(F.lit("node-"), (F.col("slot") % 3).cast("string")))
+    moves = spark.range(16384).where("id % 10 = 0").select(F.col("id").cast("int").alias("slot"), F.lit("node-9").alias("target"))
+    return cluster.drain_slots(entries, moves)
+
+
+@query(
+    f"""{TRAFFIC}, q AS (SELECT slot, CAST(sum(requests) AS DOUBLE) AS qps FROM t GROUP BY slot), l0 AS (SELECT 'node-' || CASE WHEN slot < 40 THEN 0 ELSE (slot - 40) % 3 + 1 END AS node, sum(qps) AS load FROM q GROUP BY 1),
+a AS (SELECT slot, qps, row_number() OVER (ORDER BY qps DESC, slot) AS n FROM q WHERE slot < 40 QUALIFY n <= 2), t1 AS (SELECT node, load FROM l0 WHERE node <> 'node-0' ORDER BY load, node LIMIT 1),
+m1 AS (SELECT slot, qps, t1.node AS target FROM a, t1, l0 WHERE a.n = 1 AND l0.node = 'node-0' AND t1.load + qps <= l0.load - qps),
+l1 AS (SELECT node, load + coalesce((SELECT sum(CASE WHEN target = node THEN qps WHEN node = 'node-0' THEN -qps ELSE 0 END) FROM m1), 0) AS load FROM l0),
+t2 AS (SELECT node, load FROM l1 WHERE node <> 'node-0' ORDER BY load, node LIMIT 1), m2 AS (SELECT slot, qps, t2.node AS target FROM a, t2, l1 WHERE a.n = 2 AND l1.node = 'node-0' AND t2.load + qps <= l1.load - qps)
+SELECT slot, 'node-0' AS source, target, qps FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2)"""
+)
 def rebalance_plan(spark: SparkSession, d: str) -> DataFrame:
     """The two hottest groups of slots leave the busiest of four nodes; tests plan the same by hand."""
     traffic = _traffic(spark, d)

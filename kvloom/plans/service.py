@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.operators import observability, pastes
+from kvloom.operators import cluster, observability, pastes, strings
 from kvloom.plans.registry import LOG, NOW, query
 from kvloom.sources import codec
 from kvloom.sources import views as V
@@ -38,6 +38,14 @@ def obs_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return observability.error_rate(_calls(spark, d), HOUR, 0.0005)
 
 
+@query(
+    f"""{CALLS}, w AS (SELECT (us // {HOUR // 4} - k) * {HOUR // 4} AS start, count(*) FILTER (status = 'error') AS errors, count(*) AS total FROM c, (VALUES (0), (1), (2), (3)) t(k) GROUP BY 1)
+SELECT start, errors, total, (errors / 3600.0) / greatest(total / 3600.0, 1.0) AS ratio, (errors / 3600.0) / greatest(total / 3600.0, 1.0) > 0.0005 AS alert FROM w"""
+)
+def obs_error_rate_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return observability.error_rate_sliding(_calls(spark, d), HOUR, HOUR // 4, 0.0005)
+
+
 @query(f"{CALLS} SELECT cmd, round(quantile_cont(seconds, 0.99), 9) AS value, quantile_cont(seconds, 0.99) > 0.1 AS alert FROM c GROUP BY cmd")
 def obs_p99(spark: SparkSession, d: str) -> DataFrame:
     return observability.quantile(_calls(spark, d)).withColumn("value", F.round("value", 9))
@@ -106,9 +114,9 @@ def paste_read_limit(spark: SparkSession, d: str) -> DataFrame:
     return pastes.read(_pastes(spark, d), _reads(spark, d))
 
 
-@query(f"{PASTES}, v AS (SELECT code, count(*) AS views FROM r GROUP BY code) SELECT p.code, created_us, coalesce(views, 0) AS views FROM p LEFT JOIN v ON p.code = v.code WHERE max_views = 0 OR coalesce(views, 0) < max_views ORDER BY created_us DESC, p.code LIMIT 50")
+@query(f"{PASTES}, v AS (SELECT code, count(*) AS views FROM r GROUP BY code) SELECT p.code, created_us, coalesce(views, 0) AS views FROM p LEFT JOIN v ON p.code = v.code WHERE max_views = 0 OR coalesce(views, 0) < max_views")
 def paste_admin_list(spark: SparkSession, d: str) -> DataFrame:
-    return pastes.admin_list(_pastes(spark, d), _reads(spark, d), 50)
+    return pastes.admin_list(_pastes(spark, d), _reads(spark, d))
 
 
 @query(f"{SERVED} SELECT * FROM (SELECT count(*) AS created, count(*) FILTER (created_us + ttl_s * 1000000::BIGINT < {NOW}) AS expired FROM p), (SELECT count(*) FILTER (served) AS read, count(*) FILTER (served AND burn) AS burned, count(*) FILTER (NOT served) AS refused FROM served JOIN p ON served.code = p.code)")
@@ -116,7 +124,10 @@ def paste_usage(spark: SparkSession, d: str) -> DataFrame:
     return pastes.usage(_pastes(spark, d), paste_read_limit(spark, d), V.NOW_US)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LOG}, f(key, begin) AS (SELECT key, min(us) FROM log GROUP BY key UNION ALL SELECT f.key, (SELECT min(us) FROM log x WHERE x.key = f.key AND x.us >= f.begin + {24 * HOUR}) FROM f WHERE EXISTS (SELECT 1 FROM log x WHERE x.key = f.key AND x.us >= f.begin + {24 * HOUR}))
+SELECT log.key AS client, seq, row_number() OVER (PARTITION BY log.key, begin ORDER BY us, seq) <= 2 AS passed FROM log JOIN f ON log.key = f.key AND us >= begin AND us < begin + {24 * HOUR}"""
+)
 def rate_limit_fixed(spark: SparkSession, d: str) -> DataFrame:
     """Two commands of a user in a day that begins with its first; tests fold the same in plain Python."""
     return pastes.rate_limit(V.log(spark, d).select(F.col("key").alias("client"), "us", "seq"), 2, 24 * HOUR)
@@ -167,3 +178,59 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LOG} SELECT key, op, seq FROM log")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return keyspace.drain_deduped(spark, d)
+
+
+@query(
+    f"""WITH {LOG}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY key ORDER BY us) < {2 * 24 * HOUR} THEN 0 ELSE 1 END AS fresh FROM log),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS life FROM g)
+SELECT key, max(us) + {2 * 24 * HOUR} AS expire_us, arg_max(op, (us, seq)) AS value, count(*) AS writes FROM s GROUP BY key, life HAVING max(us) + {2 * 24 * HOUR} <= (SELECT max(us) // 1000 * 1000 FROM log) - {HOUR}"""
+)
+def stream_expired(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with a time to live of two days after their last write, told as they expire."""
+    return keyspace.drain_expired(spark, d)
+
+
+# ---- sources and sinks: written beside the checkpoints and read back
+
+
+@query("SELECT 'cust:' || c_custkey AS key, CASE c_custkey % 5 WHEN 0 THEN 'string' WHEN 1 THEN 'list' WHEN 2 THEN 'set' WHEN 3 THEN 'zset' ELSE 'hash' END AS type FROM customer")
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = keyspace.shared_folder(spark)
+    codec.save(cluster.with_slot(_entries(spark, d)), path)
+    return codec.load(spark, path).select("key", "type")
+
+
+@query(f"WITH {LOG}, k AS (SELECT key, arg_max(op, (us, seq)) AS value, CASE max(seq) % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS tier FROM log GROUP BY key) SELECT key, value, tier FROM k WHERE tier <> 'cold'")
+def tier_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A folder a tier, of which two are read."""
+    path = keyspace.shared_folder(spark)
+    tier = F.get(F.array(F.lit("hot"), F.lit("warm"), F.lit("cold")), (F.max("seq") % 3).cast("int"))
+    rows = V.str_rows(spark, d).groupBy("key").agg(F.max_by("value", V.place()).alias("value"), tier.alias("tier"))
+    codec.save_tiers(rows, path)
+    return codec.load(spark, path).where(F.col("tier").isin("hot", "warm")).select("key", "value", "tier")
+
+
+@query(f"WITH {LOG} SELECT key, arg_max(op, (us, seq)) AS value FROM log GROUP BY key")
+def commands_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The log as JSON lines, and the keyspace of what is read from them."""
+    path = keyspace.shared_folder(spark)
+    V.log(spark, d).select("key", F.lit("SET").alias("op"), F.array("op").alias("args"), "us", "seq").write.json(path)
+    read = codec.read_commands(spark, path)
+    return strings.last_write(read.select("key", F.get("args", F.lit(0)).alias("value"), "us", "seq"))
+
+
+@query("SELECT CAST(s AS INTEGER) AS slot, 'node-' || s % 3 AS owner, CAST(s % 7 AS BIGINT) AS epoch, CASE s % 2 WHEN 0 THEN 'stable' ELSE 'importing' END AS state FROM range(256) t(s)")
+def cluster_state_file(spark: SparkSession, d: str) -> DataFrame:
+    """A cluster's state written as its JSON file, and read."""
+    path = keyspace.shared_folder(spark)
+    s = F.col("id")
+    slots = spark.range(256).select(s.cast("int").alias("slot"), F.concat(F.lit("node-"), (s % 3).cast("string")).alias("owner"), (s % 7).alias("epoch"), F.when(s % 2 == 0, "stable").otherwise("importing").alias("state"))
+    codec.save_cluster_state(slots, path)
+    return codec.cluster_state(spark, path)
+
+
+@query(f"WITH {LOG} SELECT key, count(*) AS writes, arg_max(op, (us, seq)) AS value FROM log WHERE op <> 'error' GROUP BY key")
+def sql_over_keyspace(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text over the log, registered as a view of a session of its own."""
+    session = V.register(spark, d)
+    return session.sql("SELECT key, count(*) AS writes, max_by(op, struct(us, seq)) AS value FROM kv_log WHERE op <> 'error' GROUP BY key")

@@ -59,6 +59,29 @@ def str_mget(spark: SparkSession, d: str) -> DataFrame:
     return strings.mget(strings.last_write(V.str_rows(spark, d)), request)
 
 
+@query(
+    f"""WITH {LOG}, k AS (SELECT key, 'string' AS type, arg_max(op, (us, seq)) AS value FROM log GROUP BY key UNION ALL SELECT DISTINCT 'list:' || user_id, 'list', NULL FROM log),
+r AS (SELECT prefix || c_custkey AS key FROM customer, (VALUES ('user:'), ('list:'), ('none:')) t(prefix))
+SELECT r.key, value, coalesce(CASE WHEN type <> 'string' THEN 'WRONGTYPE' END, '') AS error FROM r LEFT JOIN k ON r.key = k.key"""
+)
+def str_get(spark: SparkSession, d: str) -> DataFrame:
+    values = strings.last_write(V.str_rows(spark, d)).select("key", F.lit("string").alias("type"), "value")
+    others = V.typed_keys(spark, d).where("type = 'list'").select("key", "type", F.lit(None).cast("string").alias("value"))
+    prefixes = F.explode(F.array(F.lit("user:"), F.lit("list:"), F.lit("none:")))
+    probes = V.customer_keys(spark, d).select(prefixes.alias("p"), "c_custkey").select(F.concat("p", F.col("c_custkey").cast("string")).alias("key"))
+    return strings.get(values.unionByName(others), probes).withColumn("error", F.coalesce("error", F.lit("")))
+
+
+@query(
+    f"""WITH {LOG}, r AS (SELECT c_custkey AS request, 'user:' || c_custkey AS key, {NOW} - c_custkey % 30 * 86400000000 AS us FROM customer)
+SELECT request, arg_max(op, (log.us, seq)) AS value FROM r LEFT JOIN log ON r.key = log.key AND log.us <= r.us GROUP BY request"""
+)
+def str_get_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What each key was at a time of the past."""
+    at = F.lit(V.NOW_US) - F.col("seq") % 30 * 86_400_000_000
+    return strings.get_as_of(V.str_rows(spark, d), _customer_writes(spark, d).select(F.col("seq").alias("request"), "key", at.alias("us")))
+
+
 @query("SELECT 'cust:' || o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1")
 def str_mset(spark: SparkSession, d: str) -> DataFrame:
     o = V.table(spark, d, "orders")
@@ -126,7 +149,9 @@ def hash_hexists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HASH} SELECT key, string_agg(field || '=' || value, ',' ORDER BY field) AS pairs, string_agg(field, ',' ORDER BY field) AS fields, string_agg(value, ',' ORDER BY field) AS vals FROM h GROUP BY key")
 def hash_hgetall(spark: SparkSession, d: str) -> DataFrame:
-    return hashes.hgetall(hash_hset(spark, d))
+    join = lambda c: F.array_join(c, ",", "")
+    pairs = F.transform("pairs", lambda p: F.concat(p["field"], F.lit("="), F.coalesce(p["value"], F.lit(""))))
+    return hashes.hgetall(hash_hset(spark, d)).select("key", join(pairs).alias("pairs"), join("fields").alias("fields"), join("vals").alias("vals"))
 
 
 @query(f"{HASH} SELECT key, count(*) AS fields FROM h GROUP BY key")
@@ -205,9 +230,13 @@ def list_pop(spark: SparkSession, d: str) -> DataFrame:
     return lists.popped(list_push_order(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LOG}, o AS (SELECT key, op AS value, ['RPUSH', 'LPUSH', 'RPUSH', 'LPOP', 'LPUSH', 'RPUSH', 'LPUSH', 'RPOP'][(seq % 8 + 1)::INT] AS cmd, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS rn FROM log),
+f(key, rn, l) AS (SELECT DISTINCT key, 0::BIGINT, []::VARCHAR[] FROM o UNION ALL SELECT f.key, f.rn + 1, CASE cmd WHEN 'RPUSH' THEN list_append(l, value) WHEN 'LPUSH' THEN list_prepend(value, l) WHEN 'LPOP' THEN list_slice(l, 2, len(l)) ELSE list_slice(l, 1, greatest(len(l) - 1, 0)) END FROM f JOIN o ON f.key = o.key AND o.rn = f.rn + 1),
+e AS (SELECT key, arg_max(l, rn) AS l FROM f GROUP BY key) SELECT key, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS value FROM e"""
+)
 def list_push_pop_mixed(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth command pops; tests fold the same log in plain Python."""
+    """Every fourth command pops."""
     op = F.array(*[F.lit(x) for x in ("RPUSH", "LPUSH", "RPUSH", "LPOP", "LPUSH", "RPUSH", "LPUSH", "RPOP")])
     return lists.replay(V.log(spark, d).select("key", F.get(op, (F.col("seq") % 8).cast("int")).alias("op"), F.col("op").alias("value"), "us", "seq"))
 
@@ -261,6 +290,11 @@ def set_diff(spark: SparkSession, d: str) -> DataFrame:
     return sets.diff(V.set_rows(spark, d), "type:click", "type:error")
 
 
+@query(f"{SET} SELECT key, member FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5(member), member) > 5")
+def set_spop(spark: SparkSession, d: str) -> DataFrame:
+    return sets.pop(V.set_rows(spark, d), 5)
+
+
 @query(f"{SET} SELECT key, member FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5(member), member) <= 5")
 def set_srandmember(spark: SparkSession, d: str) -> DataFrame:
     return sets.sample(V.set_rows(spark, d), 5)
@@ -363,7 +397,7 @@ def key_glob(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{KEYS}, m AS (SELECT 'user:' || c_custkey AS key, 'list:' || c_custkey AS newkey FROM customer), t AS (SELECT m.newkey AS key, type FROM k JOIN m ON k.key = m.key)
-SELECT key, type FROM k WHERE key NOT IN (SELECT key FROM m) AND key NOT IN (SELECT key FROM t) UNION ALL SELECT key, type FROM t"""
+SELECT key, type FROM (SELECT * FROM k ANTI JOIN m USING (key)) s ANTI JOIN t USING (key) UNION ALL SELECT key, type FROM t"""
 )
 def key_rename(spark: SparkSession, d: str) -> DataFrame:
     number = F.col("c_custkey").cast("string")
@@ -450,6 +484,24 @@ def evict_lfu(spark: SparkSession, d: str) -> DataFrame:
     return expiry.evict_lfu(stats, 20)
 
 
+@query(f"{TTLS}, n AS (SELECT key, count(*) AS uses FROM log GROUP BY key) SELECT key, uses FROM n WHERE key IN (SELECT key FROM k WHERE expire_at_us IS NOT NULL) ORDER BY uses, key LIMIT 20")
+def evict_volatile_lfu(spark: SparkSession, d: str) -> DataFrame:
+    stats = V.log(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
+    return expiry.evict_lfu(stats.join(_expiring(spark, d).select("key", "expire_at_us"), "key"), 20, volatile=True)
+
+
+@query(f"{TTLS} SELECT key FROM k WHERE expire_at_us IS NOT NULL ORDER BY md5(key), key LIMIT 20")
+def evict_volatile_random(spark: SparkSession, d: str) -> DataFrame:
+    return expiry.evict_random(_expiring(spark, d).where("expire_at_us is not null"), 20)
+
+
+@query(f"{TTLS} SELECT count(*) FILTER (expire_at_us IS NULL OR {NOW} <= expire_at_us) AS live, count(*) AS raw FROM k")
+def key_dbsize_live_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are seen, and those with the ones that have expired and are not swept yet."""
+    live = F.col("expire_at_us").isNull() | (F.col("expire_at_us") >= V.NOW_US)
+    return _expiring(spark, d).agg(F.count_if(live).alias("live"), F.count(F.lit(1)).alias("raw"))
+
+
 @query(f"{TTLS} SELECT key, expire_at_us FROM k WHERE expire_at_us IS NOT NULL ORDER BY expire_at_us, key LIMIT 20")
 def evict_ttl(spark: SparkSession, d: str) -> DataFrame:
     return expiry.evict_ttl(_expiring(spark, d), 20)

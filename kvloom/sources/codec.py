@@ -50,6 +50,11 @@ def read_commands(spark: SparkSession, path: str, form: str = "json") -> DataFra
     return spark.read.schema(schema).format(form).load(path)
 
 
+def save_cluster_state(slots: DataFrame, path: str) -> None:
+    """slots (slot, owner, epoch, state) as one JSON object; a cluster has 16,384 of them at most."""
+    slots.agg(F.lit(1).cast("long").alias("version"), F.sort_array(F.collect_list(F.struct("slot", "owner", "epoch", "state"))).alias("slots")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def cluster_state(spark: SparkSession, path: str) -> DataFrame:
     """Slots of a cluster's state file (JSON): slot, owner, epoch, state."""
     schema = "version long, slots array<struct<slot:int,owner:string,epoch:long,state:string>>"

@@ -66,6 +66,15 @@ def zset_rows(spark: SparkSession, folder: str) -> DataFrame:
     return log(spark, folder).select(F.concat(F.lit("type:"), "op").alias("key"), F.col("key").alias("member"), "score", "us", "seq")
 
 
+def register(spark: SparkSession, folder: str) -> SparkSession:
+    """A session in which SQL finds the log and the typed views: kv_log, kv_strings, kv_hashes, kv_sets, kv_zsets and kv_keys."""
+    session = spark.newSession()
+    views = {"kv_log": log, "kv_strings": str_rows, "kv_hashes": hash_rows, "kv_sets": set_rows, "kv_zsets": zset_rows, "kv_keys": typed_keys}
+    for name, view in views.items():
+        view(session, folder).createOrReplaceTempView(name)
+    return session
+
+
 def customer_keys(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
     return c.select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), "c_custkey", "c_mktsegment", "c_nationkey")

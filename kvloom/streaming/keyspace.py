@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +22,13 @@ def source(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """The table's file or folder as a stream."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    head, _, tail = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{head}/{tail[:-1]}?")
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # streams read folders: of this one, the file of that name
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def commands(events: DataFrame) -> DataFrame:
@@ -37,7 +41,11 @@ def commands(events: DataFrame) -> DataFrame:
 
 
 def drain(spark: SparkSession, df: DataFrame, mode: str = "append", no_data: bool = False) -> DataFrame:
-    """Runs a query over what there is, and reads back what its sink got, with the batch it came in."""
+    """Runs a query over what there is, and reads back what its sink got, with the batch it came in.
+
+    The stream takes its options from the session of its rows, which for queries is one of their own.
+    """
+    spark = df.sparkSession
     base = shared_folder(spark)
     parts = f"{base}/rows"
     before = spark.conf.get(NO_DATA)
@@ -53,10 +61,14 @@ def drain(spark: SparkSession, df: DataFrame, mode: str = "append", no_data: boo
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: beside the checkpoints, or in the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/.streams"
-    path = f"{root}/{uuid.uuid4().hex}"
+    """A folder that the driver and all executors see: beside the checkpoints; in a local session without them, in the warehouse."""
     context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/.streams"
+    path = f"{root}/{uuid.uuid4().hex}"
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
@@ -68,25 +80,13 @@ def last_versions(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*").drop("batch")
 
 
-def keep_last(spark_rows: DataFrame) -> DataFrame:
+def keep_last(rows: DataFrame) -> DataFrame:
     """The keyspace of strings as state: each key's last value and how many writes it had."""
-
-    def update(key, frames, state):
-        now = state.get if state.exists else (None, -(1 << 63), -(1 << 63), 0)
-        value, us, seq, writes = now
-        for frame in frames:
-            writes += len(frame)
-            best = frame.sort_values(["us", "seq"]).iloc[-1]
-            if (best["us"], best["seq"]) >= (us, seq):
-                value, us, seq = best["op"], int(best["us"]), int(best["seq"])
-        state.update((value, us, seq, writes))
-        yield pd.DataFrame({"key": [key[0]], "value": [value], "writes": [writes]})
-
-    return spark_rows.groupBy("key").applyInPandasWithState(update, "key string, value string, writes long", "value string, us long, seq long, writes long", "update", "NoTimeout")
+    return rows.groupBy("key").agg(F.max_by("op", F.struct("us", "seq")).alias("value"), F.count(F.lit(1)).alias("writes"))
 
 
 def drain_keyspace(spark: SparkSession, folder: str) -> DataFrame:
-    return last_versions(drain(spark, keep_last(commands(source(spark, folder))), "update"), "key")
+    return last_versions(drain(spark, keep_last(commands(source(spark.newSession(), folder))), "update"), "key")
 
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -95,16 +95,17 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return timed.groupBy(F.window("at", width).alias("w"), F.col("event_type").alias("op")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _utc(spark: SparkSession) -> SparkSession:
+    """A session of its own whose times without zone are UTC."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    return session
+
+
 def drain_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of all days, those included that the watermark has not closed."""
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    try:
-        counts = windowed(source(spark, folder)).select(F.floor(F.unix_micros("w.start") / 86_400_000_000).alias("win"), "op", "n")
-        rows = drain(spark, counts, "update", no_data=True)
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", zone)
-    return last_versions(rows, "win", "op")
+    counts = windowed(source(_utc(spark), folder)).select(F.floor(F.unix_micros("w.start") / 86_400_000_000).alias("win"), "op", "n")
+    return last_versions(drain(spark, counts, "update", no_data=True), "win", "op")
 
 
 def deduped(rows: DataFrame, key: str, at: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -114,8 +115,23 @@ def deduped(rows: DataFrame, key: str, at: str | None = None, late: str = "1 hou
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def drain_deduped(spark: SparkSession, folder: str) -> DataFrame:
-    """Every command comes twice and is told once."""
-    rows = commands(source(spark, folder)).select("key", "op", "seq")
-    twice = rows.select("key", "op", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).drop("n")
-    return drain(spark, deduped(twice, "seq")).select("key", "op", "seq")
+def drain_deduped(spark: SparkSession, folder: str, late: str = "31 days") -> DataFrame:
+    """Every command comes twice and is told once; a repeat may be ``late``, after which nothing is kept of it."""
+    events = source(_utc(spark), folder)
+    rows = commands(events).withColumn("at", F.timestamp_micros("us"))
+    twice = rows.select("key", "op", "seq", "at", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).drop("n")
+    return drain(spark, deduped(twice, "seq", "at", late).select("key", "op", "seq")).select("key", "op", "seq")
+
+
+def expired(rows: DataFrame, ttl: str, late: str = "1 hour") -> DataFrame:
+    """Keys whose time to live, counted from their last write, has ended: when, the last value and the writes of that life.
+
+    A key's life is a session of writes, whose state goes as the watermark passes its end.
+    """
+    timed = rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", late)
+    lives = timed.groupBy(F.session_window("at", ttl).alias("life"), "key").agg(F.max_by("op", F.struct("us", "seq")).alias("value"), F.count(F.lit(1)).alias("writes"))
+    return lives.select("key", F.unix_micros("life.end").alias("expire_us"), "value", "writes")
+
+
+def drain_expired(spark: SparkSession, folder: str, ttl: str = "2 days") -> DataFrame:
+    return drain(spark, expired(commands(source(_utc(spark), folder)), ttl), no_data=True).drop("batch")
