@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm import textops as T
-from kvloom.llm.shared import checkpoint
+from kvloom.llm.shared import checkpoint, fresh
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark takes several, one at a time in a pass each.
@@ -229,12 +229,16 @@ def _merge(flat: list[int]) -> list[int]:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs with __ranges (hit words: starts and ends in turn), __items (sorted ids) and __words (their number).
+    """The rows of docs with three more columns: hit words (starts and ends in turn), items (sorted ids) and the number of words.
+
+    They are called __ranges, __items and __words, with more underscores if docs has such columns.
 
     One scan for each part of the benchmark; between scans the rows go through a checkpoint.
     """
     spark = docs.sparkSession
-    df = docs.withColumns({"__ranges": F.array().cast("array<int>"), "__items": F.array().cast("array<string>"), "__words": F.lit(0).cast("long")})
+    names = fresh(docs, "__ranges", "__items", "__words")
+    none = (F.array().cast("array<int>"), F.array().cast("array<string>"), F.lit(0).cast("long"))
+    df = docs.select("*", *[value.alias(name) for value, name in zip(none, names)])
     text_at, hits_at = docs.columns.index(text_col), len(docs.columns)
     for i, items in enumerate(shards(benchmark, item_col, item_text)):
         automaton = Automaton(items, window)

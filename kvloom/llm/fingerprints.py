@@ -60,10 +60,9 @@ def next_ids(ids: DataFrame) -> DataFrame:
         return joined.select("key", "first", F.coalesce("next", "__next").alias("next"))
 
     out = following(ids.select(F.col("id").alias("key"), F.col("id").alias("first")), 0)
-    # one row, for the one that has nothing after it
-    first = ids.agg(F.min("id").alias("__least"), F.max(F.col("id").isNull()).alias("__null")).select(F.when(~F.col("__null"), F.col("__least")).alias("__wrap"), F.lit(True).alias("__end"))
-    out = out.join(F.broadcast(first), F.col("next").isNull() == F.col("__end"), "left")
-    return out.select(F.col("key").alias("id"), F.coalesce("next", "__wrap").alias("next"))
+    # the one that has nothing after it: two numbers come to the driver
+    least, none = ids.agg(F.min("id"), F.max(F.col("id").isNull())).first()
+    return out.select(F.col("key").alias("id"), F.coalesce("next", F.lit(None if none else least).cast("long")).alias("next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kvloom.llm import decontaminate
 from kvloom.llm import textops as T
-from kvloom.llm.shared import checkpoint, components, only_marked
+from kvloom.llm.shared import checkpoint, components, fresh, only_marked
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values of a byte each, in bands of so many: a pair at the threshold shares a band but for 5 in a million.
@@ -374,6 +374,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     repeated = rows.join(chosen, (rows.node == chosen.node) & rows.doc.eqNullSafe(chosen.doc), "left_semi").groupBy("node", "doc").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     names = docs.columns
     at = names.index(text_col)
+    own, pick_node, pick_doc = fresh(docs, "__node", "__chosen", "__doc")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,13 +384,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                 for k, s in enumerate(shingles(parts[a:b], options.get("words", WORDS))):
                     if len(s):
                         nodes[a + k] = node_of(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(nodes)], names=[*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(nodes)], names=[*batch.schema.names, own])
 
-    whole = docs.mapInArrow(named, docs.select("*", F.lit(b"").alias("__node")).schema)
-    wordless = F.col("__node") == F.lit(bytes(16))
-    pick = chosen.select(F.col("node").alias("__chosen"), F.col("doc").alias("__doc"))
-    kept = whole.join(pick, (F.col("__node") == F.col("__chosen")) & F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left").where(wordless | F.col("__chosen").isNotNull())
+    whole = docs.mapInArrow(named, docs.select("*", F.lit(b"").alias(own)).schema)
+    wordless = F.col(own) == F.lit(bytes(16))
+    pick = chosen.select(F.col("node").alias(pick_node), F.col("doc").alias(pick_doc))
+    kept = whole.join(pick, (F.col(own) == F.col(pick_node)) & F.col(id_col).cast("long").eqNullSafe(F.col(pick_doc)), "left").where(wordless | F.col(pick_node).isNotNull())
     if not repeated.isEmpty():
         # equal rows of a chosen document: one stays
-        kept = kept.where(wordless).unionByName(kept.where(~wordless).dropDuplicates([id_col, "__node"]))
+        kept = kept.where(wordless).unionByName(kept.where(~wordless).dropDuplicates([id_col, own]))
     return kept.select(*(F.col(f"`{c}`") for c in names))

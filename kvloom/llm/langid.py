@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvloom.llm import textops as T
+from kvloom.llm.shared import fresh
 
 #: The training sample: at most so many documents, dealt evenly over languages, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2048, 384
@@ -219,15 +220,18 @@ class Labeller:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most ``most`` (language, passage) pairs, by the hash of the id, with as many of each language as there are up to an even share."""
-    rows = docs.where(trained(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    mix = F.xxhash64(F.col(id_col), F.lit(SEED))
-    # ids first: each task keeps a bounded number for each language before anything is shuffled
+    rows = docs.where(trained(id_col)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.where("lang is not null and text is not null")
+    mix = F.xxhash64("id", F.lit(SEED))
+    # of each language, only the hashes that are small enough for a few times the sample are looked at, so no task orders more
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    limit = F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+    near = rows.join(counts, "lang").where(mix <= limit)
+    start = F.lit(1) + F.pmod(mix, F.greatest(F.lit(1), F.length("text") - chars)).cast("int")
+    passages = near.select("lang", "id", mix.alias("mix"), F.col("text").substr(start, F.lit(chars)).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "id"))
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), mix.alias("mix")).withColumn("rank", rank).where(F.col("rank") <= most)
-    ids = ids.orderBy("rank", "mix", "id").limit(most).select("id")
-    start = F.lit(1) + F.pmod(mix, F.greatest(F.lit(1), F.length(text_col) - chars)).cast("int")
-    passages = rows.join(F.broadcast(ids), F.col(id_col) == F.col("id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).substr(start, F.lit(chars)).alias("text"), F.col(id_col).alias("id"))
-    return sorted((r.lang, r.text) for r in passages.orderBy("id").limit(most).collect())
+    chosen = passages.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("rank", "mix", "id").limit(most)
+    return sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())
 
 
 def trained(id_col: str):
@@ -236,7 +240,7 @@ def trained(id_col: str):
 
 
 def _held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2
 
 
 def fit(passages: list[tuple[str, str]], **options) -> Model | None:
@@ -316,5 +320,5 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     What is rejected: texts that are null or have no letter, and those whose best language has a mean probability under ``least``.
     """
     model = fit(sample(docs, id_col, text_col, lang_col))
-    names = ("__lang", "__score", "__share")
-    return predict(docs, model, text_col, names).where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).drop(*names)
+    names = tuple(fresh(docs, "__lang", "__score", "__share"))
+    return predict(docs, model, text_col, names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)

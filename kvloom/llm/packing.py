@@ -188,9 +188,16 @@ def order(docs: list[np.ndarray], index: Index, window: int) -> list[int]:
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def first_sequence(partition: int, shard: int) -> int:
+    """The number of the first sequence of a partition's shard: 26, 17 and 20 bits for partition, shard and sequence."""
+    if partition >= 1 << 26 or shard >= 1 << 17:
+        raise ValueError(f"partition {partition} or its shard {shard} has no numbers left; use fewer partitions or more of them")
+    return ((partition << 17) + shard) << 20
+
+
 def pack_shard(names: list, docs: list[np.ndarray], index: Index, shard: int, window: int) -> Iterator[tuple]:
-    """Pieces of the shard's documents: name, start, length, CRC, ids of the document, sequence, offset there, ids."""
-    sequence, offset, capacity = shard << 20, 0, window
+    """Pieces of the documents of a shard, whose first sequence has that number: name, start, length, CRC, ids of the document, sequence, offset there, ids."""
+    sequence, offset, capacity = shard, 0, window
     left = sum(map(len, docs))
     if left < window:
         capacity = 1 << (left.bit_length() - 1)
@@ -210,11 +217,12 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of each piece; with_ids adds the ids themselves.
 
     Every id of every row is in exactly one piece. A null or empty text is its end id alone.
-    Rows with one doc_id are documents of their own. ``window`` is a power of two.
+    Rows with one doc_id are documents of their own. ``window`` is a power of two. A vocabulary has at most 65,536 ids,
+    and a shard at most 2^20 sequences.
     """
     if window & (window - 1):
         raise ValueError("window is a power of two")
-    path = path or vocabulary("word_bpe_49k.json")
+    path = path or vocabulary("word_bpe_49k.json")  # of at most VOCABULARY ids, which are kept in 16 bits
     encoded = checkpoint(encode(docs, id_col, text_col, path))
     shared = docs.sparkSession.sparkContext.broadcast(statistics(encoded))  # an entry an id of the vocabulary
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -227,11 +235,11 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
         idf, mean = shared.value
         names: list = []
         texts: list[np.ndarray] = []
-        now = TaskContext.get().partitionId() << 24
+        partition, now = TaskContext.get().partitionId(), 0
         n_ids = 0
 
         def flush() -> pa.RecordBatch:
-            rows = zip(*pack_shard(names, texts, Index(texts, idf, mean), now, window))
+            rows = zip(*pack_shard(names, texts, Index(texts, idf, mean), first_sequence(partition, now), window))
             arrays = [pa.array(x, t) for x, t in zip(rows, [id_type, *[pa.int64()] * 6, pa.binary()])]
             return pa.RecordBatch.from_arrays(arrays[: 7 + with_ids], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
 

@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Words are what ASCII blanks part, unchanged. A word goes if a window covers it whose words also
     stand, in that order, in a document with a smaller id. A null text has no words. A null id is
-    larger than all others. Rows of one id are no sources for each other; equal rows get equal results.
+    larger than all others, and an id of 2^63 - 1 is taken for one. Rows of one id are no sources for each other; equal rows get equal results.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))

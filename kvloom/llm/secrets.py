@@ -161,15 +161,15 @@ def cuts(found: DataFrame, rate: float = RATE) -> DataFrame:
 
     At most BINS + 1 rows an encoding go through the windows, whatever the input.
     """
-    bins = found.select(F.explode("cands").alias("c")).groupBy(F.col("c.enc").alias("enc"), F.col("c.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    bins = found.select(F.explode("cands").alias("c")).groupBy(F.col("c.enc").alias("enc"), F.col("c.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("c.end") - F.col("c.start")) / F.lit(float(TYPICAL_LENGTH))).alias("w"))
     ranked = bins.select(
         "enc",
         "bin",
         F.sum("n").over(Window.partitionBy("enc").orderBy(F.desc("bin"))).alias("rank"),
-        F.sum("n").over(Window.partitionBy("enc")).alias("m"),
+        F.sum("w").over(Window.partitionBy("enc")).alias("w"),
     )
-    # the largest p of a bin is 10 ** (-bin / PER_DECADE)
-    passed = F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE) <= F.lit(rate) * F.col("rank") / F.col("m")
+    # the largest p of a bin is 10 ** (-bin / PER_DECADE); with the sum of the weights in m's place, they are 1 on average
+    passed = F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE) * F.col("w") <= F.lit(rate) * F.col("rank")
     return ranked.groupBy("enc").agg(F.coalesce(F.min(F.when(passed, F.col("bin"))), F.lit(BINS + 1)).alias("cut"))
 
 
