@@ -37,10 +37,16 @@ def hdel_count(rows: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.join(fields.distinct(), ["key", "field"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def nested(rows: DataFrame) -> DataFrame:
+    """HGETALL, HKEYS, HVALS: a key's pairs of field and value in order of the fields' bytes, with fields and values apart as well, as arrays."""
+    own = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("pairs"))
+    return own.select("key", "pairs", F.col("pairs.field").alias("fields"), F.col("pairs.value").alias("vals"))
+
+
 def hgetall(rows: DataFrame) -> DataFrame:
-    """A key's pairs of field and value in order of the fields' bytes, with fields and values apart as well, as arrays."""
-    nested = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("pairs"))
-    return nested.select("key", "pairs", F.col("pairs.field").alias("fields"), F.col("pairs.value").alias("vals"))
+    """``nested`` as text to look at: pairs, fields and values joined by commas, a null value as nothing."""
+    pairs = F.transform("pairs", lambda p: F.concat(p["field"], F.lit("="), F.coalesce(p["value"], F.lit(""))))
+    return nested(rows).select("key", F.array_join(pairs, ",").alias("pairs"), F.array_join("fields", ",").alias("fields"), F.array_join("vals", ",", "").alias("vals"))
 
 
 def hlen(rows: DataFrame) -> DataFrame:

@@ -26,13 +26,15 @@ def admit(frequencies: DataFrame, pairs: DataFrame, strict: bool = False) -> Dat
     return joined.select("candidate", "victim", ((cf > vf) if strict else (cf >= vf)).alias("admitted"))
 
 
-def decayed(accesses: DataFrame, bucket_us: int, buckets: int, now: int) -> DataFrame:
+def decayed(accesses: DataFrame, bucket_us: int, buckets: int, now: int, older: bool = False) -> DataFrame:
     """A count that is halved, rounded down, after each interval, folded in order as rounding does not commute.
 
-    What is older than all intervals counts in the first one. Accesses after ``now`` don't count yet.
+    What is older than all intervals doesn't count, as if counting began with the first of them; with ``older`` it counts in
+    that one. Accesses after ``now`` don't count yet.
     """
-    age = F.least(F.floor((F.lit(now) - F.col("us")) / bucket_us), F.lit(buckets - 1)).cast("int")
-    counts = accesses.where(age >= 0).groupBy("key", (F.lit(buckets - 1) - age).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    age = F.floor((F.lit(now) - F.col("us")) / bucket_us)
+    age = (F.least(age, F.lit(buckets - 1)) if older else age).cast("int")
+    counts = accesses.where((age >= 0) & (age < buckets)).groupBy("key", (F.lit(buckets - 1) - age).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     nested = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("by"))  # at most ``buckets`` entries
     steps = F.sequence(F.lit(0), F.lit(buckets - 1))
     fold = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, b: F.floor((acc + F.coalesce(F.try_element_at("by", b), F.lit(0).cast("long"))) / 2).cast("long"))

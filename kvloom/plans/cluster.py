@@ -473,7 +473,7 @@ SELECT key, uses FROM f WHERE b = 9"""
 )
 def tier_decay(spark: SparkSession, d: str) -> DataFrame:
     """Ten days are told apart; what is older counts in the first of them."""
-    return sketches.decayed(V.log(spark, d), DAY, 10, V.NOW_US)
+    return sketches.decayed(V.log(spark, d), DAY, 10, V.NOW_US, older=True)
 
 
 @query(f"{STATS} SELECT CASE WHEN grouping(tier) = 1 THEN 'all' ELSE tier END AS tier, CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count(*) AS keys, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT *, CASE WHEN uses % 2 = 0 THEN 'string' ELSE 'hash' END AS type FROM stats) GROUP BY ROLLUP (tier, type)")

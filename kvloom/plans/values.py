@@ -149,9 +149,14 @@ def hash_hexists(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{HASH} SELECT key, string_agg(field || '=' || value, ',' ORDER BY field) AS pairs, string_agg(field, ',' ORDER BY field) AS fields, string_agg(value, ',' ORDER BY field) AS vals FROM h GROUP BY key")
 def hash_hgetall(spark: SparkSession, d: str) -> DataFrame:
-    join = lambda c: F.array_join(c, ",", "")
-    pairs = F.transform("pairs", lambda p: F.concat(p["field"], F.lit("="), F.coalesce(p["value"], F.lit(""))))
-    return hashes.hgetall(hash_hset(spark, d)).select("key", join(pairs).alias("pairs"), join("fields").alias("fields"), join("vals").alias("vals"))
+    return hashes.hgetall(hash_hset(spark, d))
+
+
+@query(f"{HASH} SELECT key, field, value, row_number() OVER (PARTITION BY key ORDER BY field) - 1 AS i FROM h")
+def hash_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The nested form, taken apart again."""
+    pairs = hashes.nested(hash_hset(spark, d)).select("key", F.posexplode("pairs").alias("i", "p"))
+    return pairs.select("key", "p.field", "p.value", F.col("i").cast("long").alias("i"))
 
 
 @query(f"{HASH} SELECT key, count(*) AS fields FROM h GROUP BY key")

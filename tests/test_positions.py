@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvloom.operators import cluster, observability, positions, repllog, sets, strings
+from kvloom.operators import cluster, observability, positions, repllog, sets, sketches, strings
 
 
 @pytest.mark.parametrize("many", [100, 10**6])
@@ -69,3 +69,23 @@ def test_replay_of_all_operations(spark):
 def test_cooldown(spark):
     picks = spark.createDataFrame([(1, t) for t in (0, 3, 6, 7, 20, 20)] + [(2, 5)], "slot int, tick int")
     assert sorted((r.slot, r.tick) for r in cluster.cooled(picks, 30, 5).collect()) == [(1, 0), (1, 6), (1, 20), (2, 5)]
+
+
+def test_older_accesses_can_count(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("a", 1500), ("b", 2999)], "key string, us long")
+    told = lambda **k: {r.key: r.uses for r in sketches.decayed(df, 1000, 2, 2999, **k).collect()}
+    assert told() == {"a": 0, "b": 0}
+    assert told(older=True) == {"a": 0, "b": 0}
+    many = df.unionByName(spark.range(40).select(F.lit("a").alias("key"), F.lit(0).cast("long").alias("us")))
+    got = {r.key: r.uses for r in sketches.decayed(many, 1000, 2, 2999, older=True).collect()}
+    assert got == {"a": 43 // 2 // 2, "b": 0}
+
+
+def test_sketch_as_a_table(spark):
+    """Estimates are never too small, and a key that was never seen has what its cells have."""
+    rows = spark.createDataFrame([(f"k{i % 17}",) for i in range(500)], "key string")
+    table = sketches.count_min_table(rows, 64, 3)
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(20)], "key string")
+    got = {r.key: r.estimate for r in sketches.estimated(table, keys, 64, 3).collect()}
+    assert all(got[f"k{i}"] >= len(range(i, 500, 17)) for i in range(17)) and len(got) == 20
+    assert table.count() <= 64 * 3
