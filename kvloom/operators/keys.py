@@ -19,7 +19,7 @@ def delete(keyspace: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def delete_count(keyspace: DataFrame, keys: DataFrame) -> DataFrame:
-    return keyspace.join(keys.distinct(), "key", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("deleted"))
+    return keyspace.join(keys, "key", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("deleted"))
 
 
 def type_of(keyspace: DataFrame, probes: DataFrame) -> DataFrame:

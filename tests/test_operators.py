@@ -285,3 +285,14 @@ def test_rows_only_queries(spark, data):
     rows = {n: q[n](spark, data).collect() for n in ("list_push_pop_mixed", "rate_limit_fixed", "rebalance_plan", "cms_sketch_size", "distinct_approx")}
     assert len(rows["rate_limit_fixed"]) == spark.read.parquet(f"{data}/events.parquet").count()
     assert rows["list_push_pop_mixed"] and rows["cms_sketch_size"][0].bytes > 0
+
+
+def test_delete_count_keeps_no_set_of_the_keys(spark):
+    """Keys that are asked for twice count once, without being made distinct first."""
+    from kvloom.operators import keys as K
+
+    keyspace = spark.createDataFrame([("a", "string"), ("b", "hash"), ("c", "string")], "key string, type string")
+    asked = spark.createDataFrame([("a",), ("a",), ("b",), ("x",)], "key string")
+    out = K.delete_count(keyspace, asked)
+    assert sorted(tuple(r) for r in out.collect()) == [("hash", 1), ("string", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
